@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ivlattice.operators import badrows, deliveries, knownat, regulargrid, trailing
+from ivlattice.functions import black76, instrument
+from ivlattice.operators import badrows, deliveries, knownat, regulargrid, spikes, trailing
 from ivlattice.session import clean_name, day_text, floor_div, hour_text, micros, table, utc_day, utc_hour
 
 
@@ -25,6 +28,71 @@ def p1_kept_trades(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("ingest_seq", "trade_id", clean_name("instrument").alias("instrument"), "price_btc", "iv", "amount")
 
 
+# Bounds of a volatility in percent and of an option price in coins, with the least scatter of their logarithms.
+LIMITS = {
+    "iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
+    "mark_iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
+    "price_btc": spikes.Limits(low=0.0, high=10.0, floor=0.1, offset=0.001, stuck=False),
+}
+
+
+def _price_level(g: pd.DataFrame, series: np.ndarray) -> np.ndarray:
+    """What an option's price should be by its neighbours' volatility and its index, whose moves are genuine."""
+    iv = g["iv"].to_numpy(float)
+    iv = spikes.side_median(np.where((iv > 2) & (iv < 1000), iv, np.nan), series)
+    index = g["index_price"].groupby(series).transform(lambda s: s.ffill().bfill()).to_numpy(float)
+    strike, years, cp = (g[c].to_numpy(float) for c in ("strike", "years", "cp"))
+    index = np.where(index > 0, index, strike)
+    p = black76.np_price(index, strike, years, np.nan_to_num(iv, nan=70.0) / 100, cp) / index
+    return np.where(np.isfinite(p), np.maximum(p, 0), 0.05)
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    trades = table(spark, d, "trades_options")
+    source = clean_name("instrument")
+    trades = trades.select(
+        source.alias("source"),
+        micros("ts").alias("at"),
+        F.coalesce(_trade_key(), F.concat(F.lit("#"), F.col("ingest_seq"))).alias("record"),
+        F.col("ingest_seq").alias("row_key"),
+        "iv",
+        "price_btc",
+        "index_price",
+        instrument.parse(source).alias("i"),
+    )
+    cp = F.when(F.col("i.cp") == "C", 1.0).otherwise(-1.0)
+    about = [
+        F.col("index_price"),
+        F.col("i.strike").alias("strike"),
+        ((micros("i.expiry") - F.col("at")) / 31_536_000e6).alias("years"),
+        cp.alias("cp"),
+    ]
+    base = ["source", "at", "record", "row_key"]
+    price = trades.select(F.lit("price_btc").alias("kind"), *base, F.col("price_btc").alias("value"), "iv", *about)
+    none = [F.lit(None).cast("double").alias(c) for c in ("iv", "index_price", "strike", "years", "cp")]
+    iv = trades.select(F.lit("iv").alias("kind"), *base, F.col("iv").alias("value"), *none)
+    quotes = table(spark, d, "tardis_sample").select(
+        F.lit("mark_iv").alias("kind"),
+        clean_name("symbol").alias("source"),
+        F.col("timestamp").alias("at"),
+        F.col("timestamp").cast("string").alias("record"),
+        F.col("quote_id").alias("row_key"),
+        F.col("mark_iv").alias("value"),
+        *none,
+    )
+    rows = price.unionByName(iv).unionByName(quotes)
+    return spikes.flag_readings(rows, LIMITS, {"price_btc": _price_level}, ["iv", "index_price", "strike", "years", "cp"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    home = F.when(F.col("kind") == "mark_iv", "tardis_sample").otherwise("trades_options")
+    return _flags(spark, d).select(home.alias("table_name"), "row_key", F.col("kind").alias("field_name"))
+
+
+def p2_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d).groupBy(F.col("kind").alias("field_name"), "flag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.broken_lines(table(spark, d, "tardis_raw"))
 
@@ -113,7 +181,7 @@ def p7_filled_ohlc(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("source").alias("instrument"), hour_text(F.col("slot")).alias("slot_start"), "value", "missing")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept_trades, p3_found, p3_loaded, p4_found, p5_found, p5_trailing, p7_found, p7_filled_ohlc)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept_trades, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p5_found, p5_trailing, p7_found, p7_filled_ohlc)}
 
 _CLOSES = """
 WITH raw AS (
