@@ -32,7 +32,7 @@ def p1_kept_trades(spark: SparkSession, d: str) -> DataFrame:
 LIMITS = {
     "iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
     "mark_iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
-    "price_btc": spikes.Limits(low=0.0, high=10.0, floor=0.1, offset=0.001, stuck=False),
+    "price_btc": spikes.Limits(low=0.0, high=10.0, floor=0.12, offset=0.002, stuck=False),
 }
 
 
