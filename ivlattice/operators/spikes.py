@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.operators.shardedtime import tiled
-from ivlattice.session import shards
+from ivlattice.session import durable, shards
 
 HOUR_US = 3_600_000_000
 NORMAL, SPIKE, STUCK, OUT = range(4)
@@ -190,6 +190,9 @@ def classify(value: np.ndarray, expected: np.ndarray, series: np.ndarray, limits
     return state, p[np.arange(len(p)), state]
 
 
+FLAGGED = ["kind", "source", "record", "value", "row_key", "last_key", "copies"]
+#: Flagged records with more than two copies are broadcast up to this number (rows of about 100 bytes), joined by shuffle beyond.
+MOST_BROADCAST = 100_000
 STATES = ("normal", "spike", "stuck", "out_of_range")
 
 
@@ -213,13 +216,18 @@ def flag_readings(
     covariates = covariates or []
     expect = expect or {}
     n = shards(readings.sparkSession)
-    rows = readings.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("source").isNotNull() & F.col("record").isNotNull())
-    keys = ["kind", "source", "record", "value"]
-    first = F.min_by(F.struct("at", *covariates), F.col("row_key"))
-    records = rows.groupBy(*keys).agg(first.alias("r"), F.min("row_key").alias("row_key"))
-    records = records.select("kind", "source", "record", "value", "row_key", "r.*")
-    cut = tiled(records, ["kind", "source"], "at", cell_us, size, halo=2 * PIECE)
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("kind", "source", "__tile"), F.lit(2 * n)))
+    rows = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).dropna(subset=["source", "record", "at"])
+    cut = tiled(rows, ["kind", "source"], "at", cell_us, size, halo=2 * PIECE)
+    # copies of a record with one value become one row before anything is grouped in Python
+    keys = ["kind", "source", "__tile", "record", "value"]
+    records = cut.groupBy(*keys).agg(
+        F.min(F.struct("row_key", "at", *covariates)).alias("r"),
+        F.max("row_key").alias("last_key"),
+        F.count(F.lit(1)).alias("copies"),
+        F.max("__core").alias("__core"),
+    )
+    records = records.select(*keys, "r.*", "last_key", "copies", "__core")
+    records = records.withColumn("shard", F.pmod(F.xxhash64("kind", "source", "__tile"), F.lit(2 * n)))
 
     def chains(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -230,14 +238,16 @@ def flag_readings(
             level = expect[kind](g, series) if kind in expect else np.ones(len(g))
             state, p = classify(g["value"].to_numpy(float), level, series, limits[kind], run)
             hit = (state != NORMAL) & g["__core"].to_numpy(bool)
-            g = g[hit]
-            parts.append(g[["kind", "source", "record", "value"]].assign(flag=np.array(STATES)[state[hit]], probability=p[hit]))
+            parts.append(g[hit][FLAGGED].assign(flag=np.array(STATES)[state[hit]], probability=p[hit]))
         return pd.concat(parts)
 
-    flagged = (
-        cut.drop("__cell")
-        .groupBy("shard")
-        .applyInPandas(chains, "kind string, source string, record string, value double, flag string, probability double")
-    )
-    back = rows.select(*keys, F.col("row_key"))
-    return back.join(flagged, keys).select("kind", "row_key", "flag", "probability")
+    schema = "kind string, source string, record string, value double, row_key long, last_key long, copies long, flag string, probability double"
+    flagged = durable(records.groupBy("shard").applyInPandas(chains, schema))
+    # one or two copies are known by their first and last key; only rows with more are looked up
+    ends = F.explode(F.array_distinct(F.array("row_key", "last_key"))).alias("row_key")
+    few = flagged.filter("copies <= 2").select("kind", ends, "flag", "probability")
+    many = flagged.filter("copies > 2").select("kind", "source", "record", "value", "flag", "probability")
+    if many.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        many = F.broadcast(many)
+    rest = rows.select("kind", "source", "record", "value", "row_key").join(many, ["kind", "source", "record", "value"])
+    return few.unionByName(rest.select("kind", "row_key", "flag", "probability")).distinct()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ivlattice.functions import black76, instrument
+from ivlattice.functions import black76
 from ivlattice.operators import badrows, deliveries, knownat, regulargrid, spikes, trailing
 from ivlattice.session import clean_name, day_text, floor_div, hour_text, micros, table, utc_day, utc_hour
 
@@ -36,12 +36,22 @@ LIMITS = {
 }
 
 
+def _contract(name: str) -> tuple[float, float, float]:
+    """(strike, +1 or -1, expiry in microseconds) of an option's name; NaN if it isn't one."""
+    parts = badrows.symbol_parts(name)
+    if parts is None:
+        return np.nan, np.nan, np.nan
+    return parts[1], 1.0 if parts[2] == "call" else -1.0, np.datetime64(parts[0], "us").astype(float) + 8 * 3_600e6
+
+
 def _price_level(g: pd.DataFrame, series: np.ndarray) -> np.ndarray:
     """What an option's price should be by its neighbours' volatility and its index, whose moves are genuine."""
     iv = g["iv"].to_numpy(float)
     iv = spikes.side_median(np.where((iv > 2) & (iv < 1000), iv, np.nan), series)
     index = g["index_price"].groupby(series).transform(lambda s: s.ffill().bfill()).to_numpy(float)
-    strike, years, cp = (g[c].to_numpy(float) for c in ("strike", "years", "cp"))
+    names = g["source"].unique()
+    about = pd.DataFrame([_contract(x) for x in names], index=names).loc[g["source"]].to_numpy(float)
+    strike, cp, years = about[:, 0], about[:, 1], (about[:, 2] - g["at"].to_numpy()) / 31_536_000e6
     index = np.where(index > 0, index, strike)
     p = black76.np_price(index, strike, years, np.nan_to_num(iv, nan=70.0) / 100, cp) / index
     return np.where(np.isfinite(p), np.maximum(p, 0), 0.05)
@@ -49,28 +59,15 @@ def _price_level(g: pd.DataFrame, series: np.ndarray) -> np.ndarray:
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
     trades = table(spark, d, "trades_options")
-    source = clean_name("instrument")
-    trades = trades.select(
-        source.alias("source"),
+    about = [
+        clean_name("instrument").alias("source"),
         micros("ts").alias("at"),
         F.coalesce(_trade_key(), F.concat(F.lit("#"), F.col("ingest_seq"))).alias("record"),
         F.col("ingest_seq").alias("row_key"),
-        "iv",
-        "price_btc",
-        "index_price",
-        instrument.parse(source).alias("i"),
-    )
-    cp = F.when(F.col("i.cp") == "C", 1.0).otherwise(-1.0)
-    about = [
-        F.col("index_price"),
-        F.col("i.strike").alias("strike"),
-        ((micros("i.expiry") - F.col("at")) / 31_536_000e6).alias("years"),
-        cp.alias("cp"),
     ]
-    base = ["source", "at", "record", "row_key"]
-    price = trades.select(F.lit("price_btc").alias("kind"), *base, F.col("price_btc").alias("value"), "iv", *about)
-    none = [F.lit(None).cast("double").alias(c) for c in ("iv", "index_price", "strike", "years", "cp")]
-    iv = trades.select(F.lit("iv").alias("kind"), *base, F.col("iv").alias("value"), *none)
+    none = F.lit(None).cast("double")
+    price = trades.select(F.lit("price_btc").alias("kind"), *about, F.col("price_btc").alias("value"), "iv", "index_price")
+    iv = trades.select(F.lit("iv").alias("kind"), *about, F.col("iv").alias("value"), none.alias("iv"), none.alias("index_price"))
     quotes = table(spark, d, "tardis_sample").select(
         F.lit("mark_iv").alias("kind"),
         clean_name("symbol").alias("source"),
@@ -78,10 +75,11 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
         F.col("timestamp").cast("string").alias("record"),
         F.col("quote_id").alias("row_key"),
         F.col("mark_iv").alias("value"),
-        *none,
+        none.alias("iv"),
+        none.alias("index_price"),
     )
     rows = price.unionByName(iv).unionByName(quotes)
-    return spikes.flag_readings(rows, LIMITS, {"price_btc": _price_level}, ["iv", "index_price", "strike", "years", "cp"])
+    return spikes.flag_readings(rows, LIMITS, {"price_btc": _price_level}, ["iv", "index_price"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
