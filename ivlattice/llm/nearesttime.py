@@ -22,13 +22,13 @@ from ivlattice.session import floor_div, shards
 
 NEAREST = """
 WITH back AS (
-  SELECT l.left_id, l.entity, l.bucket, l.at, r.right_id AS b_id, r.at AS b_at
-  FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.bucket = r.bucket AND l.at >= r.at),
+  SELECT l.left_id, l.entity, l.bucket, l.tm, r.right_id AS b_id, r.tm AS b_tm
+  FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.bucket = r.bucket AND l.tm >= r.tm),
 both_ways AS (
-  SELECT back.left_id, back.at, b_id, b_at, r.right_id AS f_id, r.at AS f_at
-  FROM back ASOF LEFT JOIN r ON back.entity = r.entity AND back.bucket = r.bucket AND back.at <= r.at)
-SELECT left_id, CASE WHEN f_at IS NULL OR at - b_at <= f_at - at THEN b_id ELSE f_id END AS right_id
-FROM both_ways WHERE least(coalesce(at - b_at, {far}), coalesce(f_at - at, {far})) <= {tolerance}
+  SELECT back.left_id, back.tm, b_id, b_tm, r.right_id AS f_id, r.tm AS f_tm
+  FROM back ASOF LEFT JOIN r ON back.entity = r.entity AND back.bucket = r.bucket AND back.tm <= r.tm)
+SELECT left_id, CASE WHEN f_tm IS NULL OR tm - b_tm <= f_tm - tm THEN b_id ELSE f_id END AS right_id
+FROM both_ways WHERE least(coalesce(tm - b_tm, {far}), coalesce(f_tm - tm, {far})) <= {tolerance}
 """
 
 
@@ -57,6 +57,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, bucket
             got = con.sql(query).to_arrow_table()
         return got.select(["left_id", "right_id"]).cast(out)
 
-    a = lf.select(shard, "left_id", "entity", "bucket", "at").groupBy("shard")
-    b = rt.select(shard, "right_id", "entity", "bucket", "at").groupBy("shard")
+    a = lf.select(shard, "left_id", "entity", "bucket", F.col("at").alias("tm")).groupBy("shard")
+    b = rt.select(shard, "right_id", "entity", "bucket", F.col("at").alias("tm")).groupBy("shard")
     return a.cogroup(b).applyInArrow(pair, "left_id long, right_id long")

@@ -8,7 +8,7 @@
    whether two records have it; only such seeds go on. Where the whole stretch of
    a seed's windows stands in another record too, all of it is a match.
 3. Where only part of the stretch does, its windows are compared one by one,
-   against one example of each different stretch of that seed.
+   against two examples of each different stretch of that seed.
 4. Chain. Matches of a record with one partner are merged along diagonals into
    anchors, and chained in order with linear gap costs by a Fenwick tree. Every
    anchor belongs to one chain; a chain is a fuzzy passage, its anchors are the
@@ -144,7 +144,9 @@ def matches(docs: DataFrame, length: int, k: int) -> DataFrame:
     asking = found.join(kinds.filter(~twice).select("seed", "stretch"), ["seed", "stretch"]).select("doc_id", "seed", "a", "b", F.lit(True).alias("asks"))
     open_seeds = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~twice).alias("open")).filter("n > 1 and open").select("seed")
     asking = asking.join(open_seeds, "seed", "left_semi")
-    shown = kinds.filter(twice).join(open_seeds, "seed", "left_semi").select(F.col("lo.d").alias("doc_id"), "seed", F.col("lo.a").alias("a"), F.col("lo.b").alias("b"), F.lit(False).alias("asks"))
+    # two examples from different records, as the asking record may be one of them
+    shown = kinds.filter(twice).join(open_seeds, "seed", "left_semi").select("seed", F.explode(F.array("lo", "hi")).alias("x"))
+    shown = shown.select(F.col("x.d").alias("doc_id"), "seed", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.lit(False).alias("asks"))
     wanted = asking.unionByName(shown).groupBy("doc_id").agg(F.collect_list(F.struct("seed", "a", "b", "asks")).alias("want"))
     windows = durable(_windows(docs, wanted, length))
     spot = F.struct(F.col("doc_id").alias("d"), F.col("start").alias("a"))
