@@ -35,7 +35,7 @@ def asof_backward(
     keys and times included; right rows with null times never match.
     """
     tie = tie or []
-    payload = F.struct(micros(right_ts).alias("t"), F.struct(*[F.col(x) for x in [*tie, *values]]).alias("v"))
+    payload = F.struct(micros(right_ts).alias("t"), F.struct(*[F.col(x).alias(f"o{i}") for i, x in enumerate(tie)], *[F.col(x).alias(f"v{i}") for i, x in enumerate(values)]).alias("v"))
     r = right.filter(F.col(right_ts).isNotNull()).select(*keys, micros(right_ts).alias("__t"), payload.alias("__p"))
     r = r.withColumn("__b", floor_div(F.col("__t"), bucket_us))
     l = left.withColumn("__t", micros(left_ts)).withColumn("__b", floor_div(F.col("__t"), bucket_us))  # noqa: E741
@@ -55,4 +55,4 @@ def asof_backward(
     out = found.join(carry, [*keys, "__b"], "left").withColumn("__m", F.coalesce("__near", "__carry"))
     if max_age_us is not None:
         out = out.withColumn("__m", F.when(F.col("__t") - F.col("__m.t") <= max_age_us, F.col("__m")))
-    return out.select("__l.*", *[F.col("__m.v")[v].alias(v) for v in values])
+    return out.select("__l.*", *[F.col("__m.v")[f"v{i}"].alias(v) for i, v in enumerate(values)])

@@ -47,7 +47,7 @@ def date_spine(df: DataFrame, day: str, keys: list[str] | None = None) -> DataFr
     """Every calendar day from the first to the last of each key."""
     keys = keys or []
     ends = df.groupBy(*keys).agg(F.min(day).alias("__a"), F.max(day).alias("__b")).filter(F.col("__a").isNotNull())
-    return ends.select(*keys, F.explode(F.sequence("__a", "__b", F.expr("interval 1 day"))).cast("date").alias(day))
+    return ends.select(*keys, F.explode(F.sequence("__a", "__b", F.expr("interval 1 day"))).alias(day))
 
 
 def month_spine(start: str | Column | date, end: str | Column | date) -> Column:
