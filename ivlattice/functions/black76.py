@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.functions.numeric import finite
@@ -64,18 +65,32 @@ def delta(f: Column, k: Column, t: Column, v: Column, cp: Column, r: float = 0.0
     return F.when(dead, F.when(cp * (f - k) > 0, cp.cast("double")).otherwise(F.lit(0.0))).otherwise(F.exp(F.lit(-r) * t) * cp * norm_cdf(cp * d1))
 
 
-def greeks(f: Column, k: Column, t: Column, v: Column, cp: Column, r: float = 0.0) -> Column:
-    """struct<delta, gamma, vega, theta>."""
-    dead, s, d1, _ = _terms(f, k, t, v)
-    disc = F.exp(F.lit(-r) * t)
-    gamma = F.when(dead, F.lit(0.0)).otherwise(disc * norm_pdf(d1) / (f * s))
-    theta = F.when(dead, F.lit(0.0)).otherwise(-disc * f * norm_pdf(d1) * v / (2 * F.sqrt(t)) + F.lit(r) * price(f, k, t, v, cp, r))
-    return F.struct(delta(f, k, t, v, cp, r).alias("delta"), gamma.alias("gamma"), vega(f, k, t, v, r).alias("vega"), theta.alias("theta"))
-
+def priced(df: DataFrame, f: str, k: str, t: str, v: str, cp: str, r: float = 0.0) -> DataFrame:
+    """``df`` with price, delta, gamma, vega and theta, computed in steps.
 
-def delta_or_nan(f: Column, k: Column, t: Column, v: Column, cp: Column) -> Column:
-    ok = finite(f) & finite(k) & finite(t) & finite(v) & (f > 0) & (k > 0) & (t > 0) & (v > 0)
-    return F.when(ok, delta(f, k, t, v, cp)).otherwise(F.lit(float("nan")))
+    Each step is a projection of its own, so that shared terms are computed once and
+    the generated code stays small; null where an input is not a positive number.
+    """
+    c = F.col
+    good = finite(f) & finite(k) & finite(t) & finite(v) & (c(f) > 0) & (c(k) > 0)
+    out = df.withColumns({"__dead": (c(t) <= DEGENERATE) | (c(v) <= DEGENERATE), "__good": good, "__disc": F.exp(F.lit(-r) * c(t))})
+    out = out.withColumn("__s", F.when(c("__good") & ~c("__dead"), c(v) * F.sqrt(c(t))))
+    out = out.withColumn("__d1", F.when(c("__s").isNotNull(), F.log(c(f) / c(k)) / c("__s") + c("__s") / 2))
+    out = out.withColumns({"__x1": c(cp) * c("__d1"), "__x2": c(cp) * (c("__d1") - c("__s")), "__pdf": norm_pdf(c("__d1"))})
+    out = out.withColumns({"__n1": norm_cdf(c("__x1")), "__n2": norm_cdf(c("__x2"))})
+    money = c(cp) * (c(f) - c(k))
+    zero = F.lit(0.0)
+    live = lambda x, dead: F.when(c("__good") & c("__dead"), dead).when(c("__good"), x)
+    out = out.withColumns(
+        {
+            "price": live(c("__disc") * c(cp) * (c(f) * c("__n1") - c(k) * c("__n2")), c("__disc") * F.greatest(money, zero)),
+            "delta": live(c("__disc") * c(cp) * c("__n1"), F.when(money > 0, c(cp).cast("double")).otherwise(zero)),
+            "gamma": live(c("__disc") * c("__pdf") / (c(f) * c("__s")), zero),
+            "vega": live(c("__disc") * c(f) * c("__pdf") * F.sqrt(c(t)), zero),
+        }
+    )
+    theta = -c("__disc") * c(f) * c("__pdf") * c(v) / (2 * F.sqrt(c(t))) + F.lit(r) * c("price")
+    return out.withColumn("theta", live(theta, zero)).drop("__dead", "__good", "__disc", "__s", "__d1", "__x1", "__x2", "__pdf", "__n1", "__n2")
 
 
 # ---- NumPy twins, for kernels that already run on Arrow batches ----
@@ -145,8 +160,6 @@ def np_implied_vol(p, f, k, t, cp, r: float = 0.0) -> np.ndarray:
 
 def implied_vol_udf():
     """Arrow-batched implied volatility: (price, F, K, t, cp) -> double."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def implied_vol(p: pd.Series, f: pd.Series, k: pd.Series, t: pd.Series, cp: pd.Series) -> pd.Series:
         return pd.Series(np_implied_vol(p, f, k, t, cp))

@@ -158,17 +158,19 @@ def cascade(
     mad_multiple: float = 5.0,
     size_min: float = 0.1,
 ) -> DataFrame:
-    """Adds delta, w, quality_flags and rejected; keeps every row.
+    """Adds delta, vega, w, quality_flags and rejected; keeps every row.
 
     A null delta, volatility or size sets no flag, NaN does. The deviation test runs
     over all finite w of the group, rejected rows included.
     """
-    o = obs.withColumns(
+    o = black76.priced(obs.drop("price", "delta", "gamma", "vega", "theta"), "forward", "strike", "tau", "iv_obs", "cp_sign")
+    alive = (F.col("tau") > 0) & (F.col("iv_obs") > 0)
+    o = o.withColumns(
         {
-            "delta": black76.delta_or_nan(*[F.col(c) for c in ("forward", "strike", "tau", "iv_obs", "cp_sign")]),
+            "delta": F.coalesce(F.when(alive, F.col("delta")), F.lit(float("nan"))),
             "w": F.col("iv_obs") * F.col("iv_obs") * F.col("tau"),
         }
-    )
+    ).drop("price", "gamma", "theta")
     o = mad_outliers(o, group, "w", mad_multiple, "__mad")
     outside = lambda c, lo, hi: F.isnan(c) | (c < lo) | (c > hi)
     bits = [
