@@ -171,19 +171,19 @@ def cascade(
             "w": F.col("iv_obs") * F.col("iv_obs") * F.col("tau"),
         }
     ).drop("price", "gamma", "theta")
-    o = mad_outliers(o, group, "w", mad_multiple, "__mad")
+    o = mad_outliers(o, group, "w", mad_multiple, "__far")
     outside = lambda c, lo, hi: F.isnan(c) | (c < lo) | (c > hi)
     bits = [
         flags.bit(F.col("tau") < tau_min_days / 365.0, flags.TAU_TOO_SHORT),
         flags.bit(outside(F.abs("delta"), *delta_band), flags.DELTA_OUT_OF_BAND),
         flags.bit(outside(F.col("iv_obs"), *iv_band), flags.IV_OUT_OF_BAND),
-        flags.bit(F.col("__mad"), flags.MAD_OUTLIER),
+        flags.bit(F.col("__far"), flags.MAD_OUTLIER),
         flags.bit(F.col("size") < size_min, flags.BELOW_MIN_SIZE),
         flags.bit(F.col("block_flag"), flags.BLOCK_TRADE),
     ]
     before = F.col("quality_flags") if "quality_flags" in obs.columns else F.lit(0).cast("long")
     o = o.withColumn("quality_flags", flags.combine(before, *bits))
-    return o.withColumn("rejected", flags.rejected("quality_flags")).drop("__mad")
+    return o.withColumn("rejected", flags.rejected("quality_flags")).drop("__far")
 
 
 def add_tau(obs: DataFrame) -> DataFrame:

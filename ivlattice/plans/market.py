@@ -15,7 +15,7 @@ from ivlattice.functions.numeric import interpolate_clamped
 from ivlattice.operators import arbitrage, bars, folds, market, options, pca, snapwindow, svifit
 from ivlattice.operators.deliveries import first_deliveries
 from ivlattice.plans.registry import Catalogue
-from ivlattice.session import clean_name, table
+from ivlattice.session import clean_name, durable, table
 
 query = Catalogue()
 
@@ -159,7 +159,8 @@ def open_interest(spark: SparkSession, d: str) -> DataFrame:
 def _observations(spark: SparkSession, d: str) -> DataFrame:
     trades = first_deliveries(table(spark, d, "trades_options"), [F.lower(F.trim("trade_id"))], ["ingest_seq"], "ingest_seq")
     obs = snapwindow.snap_window(options.canonical_trades(trades), "source_ts", ["currency", "expiry"])
-    return options.add_tau(obs)
+    # read several times from here on, and only the hours before each snapshot of the whole history
+    return durable(options.add_tau(obs))
 
 
 _OBS = """WITH t AS (SELECT * FROM trades_options QUALIFY row_number() OVER (PARTITION BY lower(trim(trade_id)) ORDER BY ingest_seq) = 1),
@@ -203,7 +204,7 @@ def curated(spark: SparkSession, d: str) -> DataFrame:
     obs = _observations(spark, d)
     fwd = options.forwards(obs, table(spark, d, "trades_futures"), table(spark, d, "funding"))
     placed = obs.join(fwd, ["snap_date", "currency", "expiry"], "left").withColumn("k", F.log(F.col("strike") / F.col("forward")))
-    return options.cascade(options.cross_check(placed), ["snap_date", "currency", "expiry"])
+    return options.cascade(durable(options.cross_check(placed)), ["snap_date", "currency", "expiry"])
 
 
 @query()
@@ -239,7 +240,7 @@ def _surface_input(spark: SparkSession, d: str) -> DataFrame:
 
 
 def surfaces(spark: SparkSession, d: str) -> DataFrame:
-    return svifit.build_surfaces(_surface_input(spark, d))
+    return durable(svifit.build_surfaces(_surface_input(spark, d)))
 
 
 @query()
