@@ -42,7 +42,7 @@ WELL_QUOTED = r'\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
 SYMBOL = r"\A([A-Z]{3})-([0-9]{1,2})(" + "|".join(MONTHS) + r")([0-9]{2})-([0-9]+(?:\.[0-9]+)?)-(C|P)\z"
 DIGITS = r"\A[0-9]{1,18}\z"
 NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-SMALLEST = 4
+SMALLEST = 32
 
 # The strict reader is written for Python's re, where \z is spelt \Z.
 _FIELD = re.compile(r'(?:"((?:[^"]|"")*)"|([^",]*))(,|\Z)', re.S)
