@@ -123,7 +123,7 @@ def np_implied_vol(p, f, k, t, cp, r: float = 0.0) -> np.ndarray:
     NaN where an input is not finite, F, K or t is not positive or the price is
     outside its bounds; exactly 0 at or below intrinsic value.
     """
-    p, f, k, t, cp = np.broadcast_arrays(*(np.asarray(a, float) for a in (p, f, k, t, cp)))
+    p, f, k, t, cp = np.broadcast_arrays(*(np.atleast_1d(np.asarray(a, float)) for a in (p, f, k, t, cp)))
     with np.errstate(all="ignore"):
         disc = np.exp(-r * t)
         intrinsic = disc * np.maximum(cp * (f - k), 0.0)
