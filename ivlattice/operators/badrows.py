@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ivlattice.session import spread
+
 # The columns of the quote-chain file in order, and month names.
 COLUMNS = (
     "exchange symbol timestamp local_timestamp type strike_price expiration open_interest last_price bid_price bid_amount bid_iv "
@@ -226,7 +228,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("line_id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("record", record_type())])
     body = lines.filter(F.col("line_no").isNull() | (F.col("line_no") > 1)).select("line_id", F.col("raw_line").cast("string"))
-    return body.mapInArrow(run, schema)
+    return spread(body).mapInArrow(run, schema)
 
 
 def broken_lines(lines: DataFrame) -> DataFrame:

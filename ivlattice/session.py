@@ -47,6 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores, if the scan has fewer splits than there are cores.
+
+    Only small or badly split input is moved; a table of many files stays where it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clean_name(column: str | Column) -> Column:
     """Instrument names are equal after trimming blanks and upper-casing."""
     c = F.col(column) if isinstance(column, str) else column
