@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ivlattice.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,8 +116,9 @@ def decode(ids: list[int], content: bytes) -> str:
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """doc_id, ids array<int>; null and empty texts give an empty list.
 
-    No shuffle: texts stay where they are read. Special tokens are not known to
-    the vocabulary, so their names are ordinary text.
+    Texts stay where they are read, unless the scan has fewer splits than there are
+    cores. Special tokens are not known to the vocabulary, so their names are
+    ordinary text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -129,4 +132,5 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")

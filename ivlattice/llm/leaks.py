@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.llm.rolling import scramble
+from ivlattice.session import spread
 
 #: Words are maximal runs of Unicode letters and digits of the lower-cased text.
 WORD = r"[\p{L}\p{N}]+"
@@ -117,7 +118,8 @@ def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None) -> DataFr
                     names=["id", "mask", "seed", "place", "words", "at"],
                 )
 
-    return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SEEDS)
+    rows = texts.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return (spread(rows) if shared is not None else rows).mapInArrow(run, SEEDS)
 
 
 def _filter(items: DataFrame) -> np.ndarray:

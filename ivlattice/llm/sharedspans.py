@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.llm.rolling import code_points, prefix, scramble, sliding_min, window_hash
-from ivlattice.session import durable, shards
+from ivlattice.session import durable, shards, spread
 
 BLOCK_CHARS = 1 << 20
 PLACE_BITS = np.uint64(24)
@@ -87,7 +87,7 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
                         names=["doc_id", "seed", "stretch", "a", "b"],
                     )
 
-    return docs.mapInArrow(run, "doc_id long, seed long, stretch long, a int, b int")
+    return spread(docs).mapInArrow(run, "doc_id long, seed long, stretch long, a int, b int")
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
