@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ivlattice.llm.rolling import code_points, prefix, scramble, sliding_min, window_hash
+from ivlattice.llm.rolling import code_points, prefix, sliding_min, window_hash
 from ivlattice.session import durable, shards, spread
 
 BLOCK_CHARS = 1 << 20
@@ -258,13 +258,54 @@ def shared_spans(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
     return one.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).alias("shard")).applyInPandas(union, "doc_id long, span_start long, span_end long")
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Fewest insertions, deletions and substitutions, one array operation per row."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    other = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    step = np.arange(len(b) + 1)
+    row = step.copy()
+    for i, c in enumerate(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (other != c))])
+        row = np.minimum.accumulate(best - step) + step
+    return int(row[-1])
+
+
+def _gaps(a: DataFrame) -> DataFrame:
+    """Stretches between consecutive anchors of a chain, in both records (negative lengths as none)."""
+    w = Window.partitionBy("doc_id", "partner", "chain").orderBy("span_start")
+    g = a.withColumns(
+        {
+            "q0": F.lag("span_end").over(w),
+            "t0": F.lag(F.col("partner_start") + F.col("span_end") - F.col("span_start")).over(w),
+        }
+    ).filter(F.col("q0").isNotNull())
+    return g.select("doc_id", "partner", "chain", "q0", F.greatest("q0", "span_start").alias("q1"), "t0", F.greatest("t0", "partner_start").alias("t1"))
+
+
 def passages(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
-    """Fuzzy passages: one row per chain, with how much of it is exact.
+    """Fuzzy passages: one row per chain, aligned between its anchors.
 
-    ``similarity`` is the exact part of the longer side, a lower bound of what a
-    full alignment of the gaps would give.
+    ``edits`` is the sum of the edit distances of the gaps, ``similarity`` one minus
+    edits over the longer side. A chain never leaves its two records, so a window or
+    a group here is bounded by one record.
     """
-    a = anchors(matches(docs, length, k))
+    a = durable(anchors(matches(docs, length, k)))
+    text = docs.select("doc_id", "text")
+    gaps = _gaps(a)
+    side = lambda at, to: F.substring("text", F.col(at).cast("int") + 1, (F.col(to) - F.col(at)).cast("int"))
+    gaps = gaps.join(text, "doc_id").withColumn("qs", side("q0", "q1")).drop("text")
+    gaps = gaps.join(text.withColumnRenamed("doc_id", "partner"), "partner").withColumn("ts", side("t0", "t1")).drop("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edits = [edit_distance(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(edits, pa.int64())], names=["doc_id", "partner", "chain", "edits"])
+
+    aligned = gaps.select("doc_id", "partner", "chain", "qs", "ts").mapInArrow(run, "doc_id long, partner long, chain int, edits long")
+    edits = aligned.groupBy("doc_id", "partner", "chain").agg(F.sum("edits").alias("edits"))
     p = a.groupBy("doc_id", "partner", "chain").agg(
         F.min("span_start").alias("span_start"),
         F.max("span_end").alias("span_end"),
@@ -274,7 +315,8 @@ def passages(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
         F.count(F.lit(1)).alias("n_anchors"),
     )
     longer = F.greatest(F.col("span_end") - F.col("span_start"), F.col("partner_end") - F.col("partner_start"))
-    return p.withColumn("similarity", F.least(F.lit(1.0), F.col("exact_chars") / longer)).drop("chain")
+    out = p.join(edits, ["doc_id", "partner", "chain"], "left").withColumn("edits", F.coalesce("edits", F.lit(0).cast("long")))
+    return out.withColumn("similarity", 1 - F.col("edits") / longer).drop("chain")
 
 
-__all__ = ["shared_spans", "passages", "matches", "anchors", "chain", "scramble"]
+__all__ = ["shared_spans", "passages", "matches", "anchors", "chain", "edit_distance"]

@@ -171,3 +171,17 @@ def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert leaks.leaked_items(none, items).count() == 0
+
+
+def test_edit_distance():
+    assert [sharedspans.edit_distance(a, b) for a, b in (("", ""), ("abc", ""), ("kitten", "sitting"), ("日本", "日x本"))] == [0, 3, 3, 1]
+
+
+def test_fuzzy_passages(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    x, y = word(60), word(80)
+    docs = [(1, word(20) + x + "QQQQ" + y), (2, x + "RRRRR" + y + word(9)), (3, word(200)), (4, None)]
+    got = sharedspans.passages(spark.createDataFrame(docs, "doc_id long, text string"), length=30, k=18).collect()
+    assert {(r.doc_id, r.partner, r.span_start, r.span_end, r.n_anchors, r.edits) for r in got} == {(1, 2, 20, 164, 2, 5), (2, 1, 0, 145, 2, 5)}
+    assert all(abs(r.similarity - (1 - 5 / 145)) < 1e-12 for r in got)
