@@ -231,3 +231,28 @@ def test_settings(tmp_path):
         config.load(config.Curation, tmp_path / "d.yaml")
     with pytest.raises(ValueError):
         config.Curation(window_minutes=400)
+
+
+@pytest.mark.parametrize(
+    "k, w",
+    [
+        (np.linspace(-1, 1, 5), [[0.5223, 0.0748, 0.4493, 1.7387, 4.0282]]),
+        (np.array([0.0, 0.5, 1.0]), [[0.0044, 1.23, 18.0]]),
+        (np.linspace(-1, 1, 9), [[0.05] * 9, [0.03] * 9, [0.09] * 9]),
+    ],
+)
+def test_repair_removes_arbitrage(k, w):
+    from ivlattice.operators import repair
+
+    w = np.array(w)
+    assert repair.breaches(k, w) > 1e-10
+    fixed = repair.repair_grid(k, w)
+    assert repair.breaches(k, fixed) <= 1e-8 and np.isfinite(fixed).all()
+
+
+def test_repair_leaves_a_clean_grid_alone():
+    from ivlattice.operators import repair
+
+    k = np.linspace(-1, 1, 9)
+    w = np.stack([svifit.variance(np.array([0.01 + 0.05 * t, 0.1, -0.1, 0.0, 0.2]), k) for t in (0.1, 0.3, 0.6)])
+    assert np.array_equal(repair.repair_grid(k, w), w)
