@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ivlattice.functions.numeric import if_finite
 
-ACCURACY = 2_000
+ACCURACY = 10_000
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

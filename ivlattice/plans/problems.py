@@ -194,7 +194,29 @@ roll AS (SELECT table_name, entity, strftime(DATE '1970-01-01' + CAST(day AS INT
   WINDOW w7 AS (PARTITION BY table_name, entity ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY table_name, entity ORDER BY day ROWS 29 PRECEDING))
 """
 
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_LINES = (
+    r"""
+WITH s AS (SELECT line_id, regexp_replace(coalesce(raw_line, ''), '\r$', '') AS s FROM tardis_raw WHERE line_no > 1),
+q AS (SELECT line_id, regexp_full_match(s, '(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*') AS quoted,
+ list_transform(regexp_extract_all(s || ',', '("(?:[^"]|"")*"|[^",]*),', 1), lambda x: trim(CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END, ' ' || chr(9))) AS f FROM s),
+p AS (SELECT line_id, quoted, f, TRY_CAST(regexp_extract(f[2], '-([0-9.]+)-[CP]$', 1) AS DOUBLE) AS k,
+ try_strptime(regexp_extract(f[2], '-([0-9]{1,2}[A-Z]{3})[0-9]{2}-', 1) || '20' || regexp_extract(f[2], '([0-9]{2})-[0-9.]+-[CP]$', 1), '%d%b%Y') AS day FROM q),
+r AS (SELECT line_id, f, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 24 THEN 'columns'
+ WHEN NOT coalesce(regexp_full_match(f[2], '[A-Z]{3}-[0-9]{1,2}(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[0-9]{2}-[0-9]+(\.[0-9]+)?-[CP]') AND day IS NOT NULL
+  AND regexp_full_match(f[3], '[0-9]+') AND regexp_full_match(f[4], '[0-9]+') AND regexp_full_match(f[7], '[0-9]+') AND TRY_CAST(f[3] AS BIGINT) > 0 AND TRY_CAST(f[4] AS BIGINT) > 0
+  AND f[5] = CASE WHEN f[2][-1] = 'C' THEN 'call' ELSE 'put' END AND regexp_full_match(f[6], 'NUMBER') AND TRY_CAST(f[6] AS DOUBLE) > 0 AND TRY_CAST(f[6] AS DOUBLE) = k
+  AND TRY_CAST(f[7] AS BIGINT) = epoch_ms(day) + 28800000
+  AND len(list_filter(f[8:17] || f[19:24], lambda x: x <> '' AND NOT (regexp_full_match(x, 'NUMBER') AND isfinite(TRY_CAST(x AS DOUBLE))))) = 0, false) THEN 'value' END AS reason FROM p)
+"""
+).replace("NUMBER", _NUMBER)
+
 SQL = {
+    "p3_found": _LINES + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p3_loaded": _LINES
+    + "SELECT line_id, "
+    + ", ".join(f"{f'f[{i}]' if c in badrows.TEXT else f'TRY_CAST(f[{i}] AS BIGINT)' if c in badrows.WHOLE else f'TRY_CAST(f[{i}] AS DOUBLE)'} AS {c}" for i, c in enumerate(badrows.COLUMNS, 1))
+    + " FROM r WHERE reason IS NULL",
     "p1_found": """
 SELECT 'trades_options' AS table_name, ingest_seq FROM trades_options
 QUALIFY row_number() OVER (PARTITION BY lower(trim(trade_id)) ORDER BY ingest_seq) > 1

@@ -34,16 +34,22 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session, set in the context.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) a fresh temporary one is made.
+    It is the session's spark.checkpoint.dir; only where that is unset (tests, a
+    laptop) a fresh temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, which survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -256,3 +256,16 @@ def test_repair_leaves_a_clean_grid_alone():
     k = np.linspace(-1, 1, 9)
     w = np.stack([svifit.variance(np.array([0.01 + 0.05 * t, 0.1, -0.1, 0.0, 0.2]), k) for t in (0.1, 0.3, 0.6)])
     assert np.array_equal(repair.repair_grid(k, w), w)
+
+
+def test_registered_functions(spark):
+    from ivlattice.functions.register import register
+
+    assert len(register(spark)) == 5
+    r = spark.sql(
+        "select svi_w(0.1D, 0.04D, 0.15D, -0.3D, 0.05D, 0.15D) w, svi_g(0.1D, 0.04D, 0.15D, -0.3D, 0.05D, 0.15D) g, "
+        "implied_vol(black76_price(100D, 90D, 0.5D, 0.6D, 1D), 100D, 90D, 0.5D, 1D) v, parse_instrument('BTC-8APR22-40000-C').strike k"
+    ).first()
+    p = np.array([0.04, 0.15, -0.3, 0.05, 0.15])
+    assert abs(r.w - svifit.variance(p, np.array([0.1]))[0]) < 1e-12 and abs(r.g - svifit.durrleman(p, np.array([0.1]))[0]) < 1e-12
+    assert abs(r.v - 0.6) < 1e-9 and r.k == "40000"
