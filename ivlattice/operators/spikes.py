@@ -5,7 +5,8 @@ reading scatters around its neighbours' median as the source usually does; a
 spike may lie anywhere; a stuck reading repeats its neighbour exactly; an
 out-of-range reading violates hard bounds. Forward-backward gives each reading
 its state probabilities. A stuck flag also needs a run of at least ``run``
-different records, a spike flag distance from both sides' medians.
+different records, a spike flag distance from both sides' medians and from the
+ordinary readings next to it.
 
 Sources are cut into tiles of bounded size with halos (see shardedtime), and a
 task computes all chains it holds at once: they are folded into pieces of
@@ -34,6 +35,7 @@ HOUR_US = 3_600_000_000
 NORMAL, SPIKE, STUCK, OUT = range(4)
 PIECE, OVERLAP = 64, 16
 SIDE = 5
+CONFIRM = 6.0
 
 # Transition probabilities between the states (rows: from).
 STEP = np.array(
@@ -173,6 +175,26 @@ def run_lengths(value: np.ndarray, series: np.ndarray) -> np.ndarray:
     return np.bincount(ids)[ids]
 
 
+def _stands_apart(x: np.ndarray, scale: np.ndarray, series: np.ndarray, spike: np.ndarray) -> np.ndarray:
+    """Whether a reading is CONFIRM scales away from the two nearest ordinary readings on either side.
+
+    A slow drift between sparse readings is near one of them, a spike near none.
+    """
+    index = np.flatnonzero(~spike & ~np.isnan(x))
+    at = np.flatnonzero(spike)
+    place = np.searchsorted(index, at)
+    apart = np.ones(len(at), bool)
+    for k in (-2, -1, 0, 1):
+        j = place + k
+        ok = (j >= 0) & (j < len(index))
+        other = index[np.clip(j, 0, max(len(index) - 1, 0))] if len(index) else np.zeros(len(at), int)
+        near = ok & (series[other] == series[at]) & (np.abs(x[at] - x[other]) < CONFIRM * scale[at])
+        apart &= ~near
+    out = np.zeros(len(x), bool)
+    out[at] = apart
+    return out
+
+
 def classify(value: np.ndarray, expected: np.ndarray, series: np.ndarray, limits: Limits, run: int) -> tuple[np.ndarray, np.ndarray]:
     """State (0 to 3) and its probability for readings sorted by series and time."""
     out = (value <= limits.low) | (value >= limits.high)
@@ -180,13 +202,15 @@ def classify(value: np.ndarray, expected: np.ndarray, series: np.ndarray, limits
     seen = np.where(out, np.nan, x)
     dev = deviation(seen, series)
     dev = np.where(out, 0.0, dev)
-    u = dev / np.maximum(np.nan_to_num(scatter(dev, series)), limits.floor)
+    scale = np.maximum(np.nan_to_num(scatter(dev, series)), limits.floor)
+    u = dev / scale
     lengths = run_lengths(value, series)
     equal = (lengths > 1) & limits.stuck
     p = state_probabilities(u, equal, out, series)
     state = p.argmax(1)
     state = np.where((state == STUCK) & (lengths < run), NORMAL, state)
     state = np.where(out, OUT, state)
+    state = np.where((state == SPIKE) & ~_stands_apart(seen, scale, series, state == SPIKE), NORMAL, state)
     return state, p[np.arange(len(p)), state]
 
 

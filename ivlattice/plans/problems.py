@@ -30,8 +30,8 @@ def p1_kept_trades(spark: SparkSession, d: str) -> DataFrame:
 
 # Bounds of a volatility in percent and of an option price in coins, with the least scatter of their logarithms.
 LIMITS = {
-    "iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
-    "mark_iv": spikes.Limits(low=2.0, high=1000.0, floor=0.045),
+    "iv": spikes.Limits(low=2.0, high=1000.0, floor=0.035),
+    "mark_iv": spikes.Limits(low=2.0, high=1000.0, floor=0.035),
     "price_btc": spikes.Limits(low=0.0, high=10.0, floor=0.12, offset=0.002, stuck=False),
 }
 

@@ -77,3 +77,22 @@ def test_manifest_and_most_liquid(spark):
     assert [r.month for r in tables.unseen(todo, todo.limit(1), ["month"]).collect()] == ["2024-02"]
     s = spark.createDataFrame([("a", None), ("b", 2.0), ("c", 2.0)], "instrument string, volume double")
     assert [r.instrument for r in tables.most_liquid(s, 2).collect()] == ["b", "c"]
+
+
+def test_payload_pages_become_tables(spark):
+    from ivlattice.sources import payloads
+
+    trade = lambda i, block=None: {"timestamp": 1000 + i, "instrument_name": "BTC-8APR22-40000-C", "price": 0.05, "iv": 65.0, "amount": 1.0, "index_price": 45000.0, "trade_id": str(i), **({"block_trade_id": block} if block else {})}
+    pages = spark.createDataFrame([(1, json.dumps({"trades": [trade(1), trade(2, "b")]})), (2, json.dumps({"trades": [trade(2), trade(3)]})), (3, "broken"), (4, None)], "page long, body string")
+    got = {r.trade_id: r for r in payloads.trades(pages).collect()}
+    assert set(got) == {"1", "2", "3"} and got["2"].block_flag and not got["3"].block_flag and got["1"].strike == 40000.0
+    one = lambda body, **key: spark.createDataFrame([(1, *key.values(), json.dumps(body))], "page long, " + "".join(f"{k} string, " for k in key) + "body string")
+    c = payloads.candles(one({"ticks": [0, 3600000], "open": [1.0, 2.0], "high": [3.0, 4.0], "low": [0.5, 1.0], "close": [2.0, 3.0], "volume": [1.0, 1.0]}, instrument="X"))
+    assert c.count() == 2
+    v = payloads.volatility_index(one({"data": [[0, 1, 2, 0.5, 1.5], [3600000, 1, 2, 0.5, 1.6]]}, currency="BTC")).collect()
+    assert sorted(r.close for r in v) == [1.5, 1.6]
+    f = payloads.funding(one([{"timestamp": 0, "interest_1h": 0.1, "interest_8h": 0.2, "index_price": 1.0}], instrument="P")).first()
+    assert f.interest_8h == 0.2
+    assert payloads.deliveries(one({"data": [{"date": "2024-01-01", "delivery_price": 5.0}], "records_total": 1}, index="i")).first().delivery_price == 5.0
+    i = payloads.instruments(one([{"instrument_name": "A", "kind": "option", "expiration_timestamp": 0, "strike": 1.0, "option_type": "put"}])).first()
+    assert i.cp == "P" and i.creation_ts is None
