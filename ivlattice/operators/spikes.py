@@ -198,7 +198,8 @@ def _stands_apart(x: np.ndarray, scale: np.ndarray, series: np.ndarray, spike: n
 def classify(value: np.ndarray, expected: np.ndarray, series: np.ndarray, limits: Limits, run: int) -> tuple[np.ndarray, np.ndarray]:
     """State (0 to 3) and its probability for readings sorted by series and time."""
     out = (value <= limits.low) | (value >= limits.high)
-    x = np.log(np.clip(value, 1e-9, 1e9) + limits.offset) - np.log(expected + limits.offset)
+    plain = np.log(np.clip(value, 1e-9, 1e9) + limits.offset)
+    x = plain - np.log(expected + limits.offset)
     seen = np.where(out, np.nan, x)
     dev = deviation(seen, series)
     dev = np.where(out, 0.0, dev)
@@ -210,7 +211,9 @@ def classify(value: np.ndarray, expected: np.ndarray, series: np.ndarray, limits
     state = p.argmax(1)
     state = np.where((state == STUCK) & (lengths < run), NORMAL, state)
     state = np.where(out, OUT, state)
-    state = np.where((state == SPIKE) & ~_stands_apart(seen, scale, series, state == SPIKE), NORMAL, state)
+    # by itself as well as by what was expected of it, as the expectation may be what is wrong
+    for v in (seen, np.where(out, np.nan, plain)):
+        state = np.where((state == SPIKE) & ~_stands_apart(v, scale, series, state == SPIKE), NORMAL, state)
     return state, p[np.arange(len(p)), state]
 
 
