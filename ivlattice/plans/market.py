@@ -399,6 +399,12 @@ def lookback_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("p", F.col("day").cast("string").alias("day"), "n", F.array_join(F.transform("inputs", lambda x: x["n"].cast("string")), ",").alias("past"))
 
 
+@query("SELECT CAST(i - 1 AS INTEGER) AS pos, round(avg(embedding[i]), 7) AS mean, round(var_pop(embedding[i]), 7) AS variance, count(*) AS n FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i")
+def vector_moments(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+    return x.groupBy("pos").agg(F.round(F.avg("x"), 7).alias("mean"), F.round(F.var_pop("x"), 7).alias("variance"), F.count("x").alias("n"))
+
+
 @query()
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
