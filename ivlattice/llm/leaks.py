@@ -8,7 +8,7 @@ text has are dropped where they arise, by a filter of fixed size; the rest are
 joined with the evaluation seeds, and each hit is verified word by word on its
 diagonal: exactly, or with a number of substitutions allowed.
 
-Defined results: null and empty texts have no words and leak nothing; an item of
+Defined results: null and empty texts have no words and leak nothing, nor do rows without an id; an item of
 fewer than SPAN words cannot be found; repeated texts are reported under each id.
 """
 
@@ -118,7 +118,7 @@ def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None) -> DataFr
                     names=["id", "mask", "seed", "place", "words", "at"],
                 )
 
-    rows = texts.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = texts.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return (spread(rows) if shared is not None else rows).mapInArrow(run, SEEDS)
 
 

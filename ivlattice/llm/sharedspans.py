@@ -17,7 +17,7 @@
 Each match names one partner, so groups of copies give rows in proportion to
 their members, not pairs; no seed, however common, is gathered in one place.
 
-Defined results: null texts and texts shorter than ``length`` share nothing; a
+Defined results: null texts, texts without an id and texts shorter than ``length`` share nothing; a
 record does not share with itself; copies of one text under different ids do
 share. Offsets count code points.
 """
@@ -36,7 +36,8 @@ from ivlattice.llm.rolling import code_points, prefix, sliding_min, window_hash
 from ivlattice.session import durable, shards, spread
 
 BLOCK_CHARS = 1 << 20
-PLACE_BITS = np.uint64(24)
+#: Low bits that hold a place in a block; texts of up to 4 billion characters.
+PLACE_BITS = np.uint64(32)
 GAP_COST = 0.1
 
 
@@ -129,7 +130,7 @@ def matches(docs: DataFrame, length: int, k: int) -> DataFrame:
 
     Together they cover exactly the characters that lie in a shared window.
     """
-    docs = docs.select("doc_id", "text").filter(F.length("text") >= length)
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= length))
     all_seeds = seeds(docs, length, k)
     common = all_seeds.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").select("seed")
     found = durable(all_seeds.join(common, "seed"))

@@ -104,7 +104,7 @@ def test_shared_spans(spark, seed):
         parts = [word(rng.randint(0, 60)) if rng.random() < 0.5 else (c := rng.choice(common))[rng.randint(0, 15) : len(c) - rng.randint(0, 15)] for _ in range(4)]
         docs.append((d, "".join(parts)))
     docs += [(50, docs[10][1]), (51, docs[10][1]), (52, "x" * 300)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame([(None, docs[12][1])], "doc_id long, text string").union(spark.createDataFrame(docs, "doc_id long, text string"))
     got = sorted((r.doc_id, r.span_start, r.span_end) for r in sharedspans.shared_spans(df, length=30, k=18).collect())
     assert got == spans_brute(docs, 30)
 
