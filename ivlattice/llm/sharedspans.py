@@ -39,6 +39,7 @@ BLOCK_CHARS = 1 << 20
 #: Low bits that hold a place in a block; texts of up to 4 billion characters.
 PLACE_BITS = np.uint64(32)
 GAP_COST = 0.1
+MOST_IDS = 1_000_000
 
 
 def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -91,6 +92,16 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
     return spread(docs).mapInArrow(run, "doc_id long, seed long, stretch long, a int, b int")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids, so that other texts are not shuffled by a later join.
+
+    Up to MOST_IDS ids (8 bytes each) are broadcast; beyond, the join shuffles.
+    """
+    ids = ids.distinct()
+    small = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """One row per wanted window: seed, window (hash), doc_id, start, asks.
 
@@ -116,7 +127,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         names=["seed", "window", "doc_id", "start", "asks"],
                     )
 
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "want")
+    joined = _only(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("doc_id", "text", "want")
     return joined.mapInArrow(run, "seed long, window long, doc_id long, start int, asks boolean")
 
 
@@ -296,6 +307,7 @@ def passages(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
     a = durable(anchors(matches(docs, length, k)))
     text = docs.select("doc_id", "text")
     gaps = _gaps(a)
+    text = _only(text, gaps.select("doc_id").union(gaps.select(F.col("partner").alias("doc_id"))))
     side = lambda at, to: F.substring("text", F.col(at).cast("int") + 1, (F.col(to) - F.col(at)).cast("int"))
     gaps = gaps.join(text, "doc_id").withColumn("qs", side("q0", "q1")).drop("text")
     gaps = gaps.join(text.withColumnRenamed("doc_id", "partner"), "partner").withColumn("ts", side("t0", "t1")).drop("text")
