@@ -14,8 +14,13 @@
    anchor belongs to one chain; a chain is a fuzzy passage, its anchors are the
    exact spans.
 
-Each match names one partner, so groups of copies give rows in proportion to
-their members, not pairs; no seed, however common, is gathered in one place.
+Each match of steps 2 and 3 names one partner, which is all that the union over
+partners needs; no seed, however common, is gathered in one place.
+
+Passages name every partner. Copies of a whole text are one class, of which the
+least id is matched; the others have one row with it. A seed's places in the
+representatives are paired in blocks of bounded size, all places with all, merged
+along diagonals into runs of each pair, chained, and extended to exact spans.
 
 Defined results: null texts, texts without an id and texts shorter than ``length`` share nothing; a
 record does not share with itself; copies of one text under different ids do
@@ -25,6 +30,7 @@ share. Offsets count code points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -40,6 +46,10 @@ BLOCK_CHARS = 1 << 20
 PLACE_BITS = np.uint64(32)
 GAP_COST = 0.1
 MOST_IDS = 1_000_000
+#: Places of one seed that one task pairs with as many others.
+BLOCK_PLACES = 1024
+#: Pieces of text that are sent on together.
+MOST_PIECES = 4096
 
 
 def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -55,7 +65,7 @@ def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[
 
 
 def _stretches(texts: list[str], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text number, seed hash, hash of the whole stretch, first and last window) per seed."""
+    """(text number, seed hash, hash of the whole stretch, first and last window, place of the seed) per seed."""
     points, ends = code_points(texts)
     pre = prefix(points)
     starts = np.arange(max(0, len(points) - k + 1))
@@ -68,12 +78,12 @@ def _stretches(texts: list[str], length: int, k: int) -> tuple[np.ndarray, ...]:
     whole = window + length <= ends[of + 1]
     window, owner, of = window[whole], owner[whole], of[whole]
     if not len(window):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     new = np.r_[True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])]
     first = np.flatnonzero(new)
     a, b = window[first], window[np.r_[first[1:], len(window)] - 1]
     of, owner = of[first], owner[first]
-    return of, seed[owner], window_hash(pre, a, b + length), a - ends[of], b - ends[of]
+    return of, seed[owner], window_hash(pre, a, b + length), a - ends[of], b - ends[of], owner - ends[of]
 
 
 def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -83,7 +93,7 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for ids, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    of, seed, stretch, a, b = _stretches(texts, length, k)
+                    of, seed, stretch, a, b, _ = _stretches(texts, length, k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.asarray(ids, np.int64)[of]), pa.array(seed.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
                         names=["doc_id", "seed", "stretch", "a", "b"],
@@ -285,6 +295,168 @@ def edit_distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def _runs(of: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First entry, step and number of places of each run of one seed at equal steps (periodic text)."""
+    n = len(of)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = np.r_[False, (of[1:] == of[:-1]) & (seed[1:] == seed[:-1])]
+    step = np.where(same, np.diff(place, prepend=place[:1]), 0)
+    # an entry goes on with a run if it is the second of it or keeps its step
+    new = ~same | (np.r_[False, same[:-1]] & (step != np.r_[0, step[:-1]]))
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, n])
+    return first, np.where(count > 1, step[np.minimum(first + 1, n - 1)], 0), count
+
+
+def places(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """doc_id, seed, again (a second hash), place, step, n: where the seeds stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for ids, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    of, seed, _, _, _, place = _stretches(texts, length, k)
+                    first, step, count = _runs(of, seed, place)
+                    of, seed, place = of[first], seed[first], place[first]
+                    points, ends = code_points(texts)
+                    at = ends[of] + place
+                    again = window_hash(prefix(points + np.uint32(0x110000)), at, at + k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.asarray(ids, np.int64)[of]), pa.array(seed.view(np.int64)), pa.array(again.view(np.int64)), pa.array(place), pa.array(step), pa.array(count.astype(np.int64))],
+                        names=["doc_id", "seed", "again", "place", "step", "n"],
+                    )
+
+    return spread(docs).mapInArrow(run, "doc_id long, seed long, again long, place long, step long, n long")
+
+
+def _paired(found: DataFrame) -> DataFrame:
+    """All places of a seed with all its places in records of greater id; ``size`` is the number of its rows."""
+    blocks = F.ceil(F.col("size") / BLOCK_PLACES)
+    found = found.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    left = found.select("seed", "again", F.col("own").alias("i"), F.col("other").alias("j"), "doc_id", "place", "step", "n")
+    right = found.select("seed", "again", F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("partner"), F.col("place").alias("place2"), F.col("step").alias("step2"), F.col("n").alias("n2"))
+    return left.join(right, ["seed", "again", "i", "j"]).filter("doc_id < partner").drop("seed", "again", "i", "j")
+
+
+def _hits(p: int, d: int, n: int, q: int, d2: int, n2: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, partner_start) of two runs of one seed, one for each diagonal if their steps are equal."""
+    if n > 1 and n2 > 1 and d == d2 and d <= k:
+        for j in range(1 - n, n2):
+            at = max(0, -j)
+            yield p + at * d, p + (min(n, n2 - j) - 1) * d + k, q + (at + j) * d
+    else:
+        for x in range(p, p + n * max(d, 1), max(d, 1)):
+            for y in range(q, q + n2 * max(d2, 1), max(d2, 1)):
+                yield x, x + k, y
+
+
+RUNS = "doc_id long, partner long, s long, e long, ps long, pe long"
+
+
+def pair_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """Runs of shared seeds on one diagonal, of every two records: ``RUNS``, doc_id < partner."""
+    every = places(docs, length, k)
+    common = every.groupBy("seed", "again").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count(F.lit(1)).alias("size")).filter("d0 <> d1").select("seed", "again", "size")
+    hits = _paired(durable(every.join(common, ["seed", "again"])))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (doc, partner), g in pdf.groupby(["doc_id", "partner"], sort=False):
+            six = zip(*(g[c].tolist() for c in ("place", "step", "n", "place2", "step2", "n2")))
+            h = np.array([x for row in six for x in _hits(*row, k)], np.int64).reshape(-1, 3)
+            s, e, shift = merge_diagonals(h[:, 0], h[:, 1], h[:, 2] - h[:, 0])
+            out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "s": s, "e": e, "ps": s + shift, "pe": e + shift}))
+        return pd.concat(out)
+
+    return hits.groupBy(_pair_shard(docs)).applyInPandas(run, RUNS)
+
+
+def _pair_shard(df: DataFrame):
+    return F.pmod(F.xxhash64("doc_id", "partner"), F.lit(2 * shards(df.sparkSession))).alias("shard")
+
+
+def _flanks(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """doc_id, s, e, before, after: up to ``reach`` characters on either side of each run, in both records."""
+    wanted = runs.select("doc_id", "s", "e").union(runs.select("partner", "ps", "pe")).distinct()
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("want"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, want in zip(*(c.to_pylist() for c in batch.columns)):
+                for at in range(0, len(want), MOST_PIECES):
+                    part = [(w["s"], w["e"]) for w in want[at : at + MOST_PIECES]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc] * len(part), pa.int64()),
+                            pa.array([s for s, _ in part], pa.int64()),
+                            pa.array([e for _, e in part], pa.int64()),
+                            pa.array([text[max(0, s - reach) : s] for s, _ in part], pa.string()),
+                            pa.array([text[e : e + reach] for _, e in part], pa.string()),
+                        ],
+                        names=["doc_id", "s", "e", "before", "after"],
+                    )
+
+    joined = _only(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("doc_id", "text", "want")
+    return joined.mapInArrow(run, "doc_id long, s long, e long, before string, after string")
+
+
+def _alike(a: str, b: str) -> int:
+    """Number of equal characters at the start of both."""
+    return len(commonprefix([a, b]))
+
+
+def _in_chains(label: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray) -> list[list[int]]:
+    """[chain, start, end, partner_start], cut so that the anchors of a chain don't overlap in either record."""
+    out: list[list[int]] = []
+    for i in np.lexsort((s, label)).tolist():
+        c, a, b, o = int(label[i]), int(s[i]), int(e[i]), int(other[i])
+        if out and out[-1][0] == c:
+            last = out[-1]
+            if o - a == last[3] - last[1] and a <= last[2]:
+                last[2] = max(last[2], b)
+                continue
+            over = max(0, last[2] - a, last[3] + last[2] - last[1] - o)
+            a, o = a + over, o + over
+            if a >= b:
+                continue
+        out.append([c, a, b, o])
+    return out
+
+
+def pair_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """Anchors of the chains of every two records, doc_id < partner.
+
+    A span of ``length`` or more has a seed within ``length - k`` characters of both
+    ends, so runs that are extended so far are whole spans.
+    """
+    runs = durable(pair_runs(docs, length, k))
+    flanks = durable(_flanks(docs, runs, length - k))
+    theirs = flanks.select(F.col("doc_id").alias("partner"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("before").alias("before2"), F.col("after").alias("after2"))
+    both = runs.join(flanks, ["doc_id", "s", "e"]).join(theirs, ["partner", "ps", "pe"]).select("doc_id", "partner", "s", "e", "ps", "before", "before2", "after", "after2")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = np.array([_alike(a[::-1], b[::-1]) for a, b in zip(pdf["before"], pdf["before2"])], np.int64)
+        right = np.array([_alike(a, b) for a, b in zip(pdf["after"], pdf["after2"])], np.int64)
+        pdf = pdf[["doc_id", "partner", "s", "e", "ps"]].assign(left=left, right=right)
+        pdf = pdf[pdf["e"] + pdf["right"] - pdf["s"] + pdf["left"] >= length]
+        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "partner", "chain", "span_start", "span_end", "partner_start")})]
+        for (doc, partner), g in pdf.groupby(["doc_id", "partner"], sort=False):
+            s, e, other, left, right = (g[c].to_numpy(np.int64) for c in ("s", "e", "ps", "left", "right"))
+            rows = np.array(_in_chains(chain(s, e, other), s - left, e + right, other - left), np.int64)
+            out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "chain": rows[:, 0], "span_start": rows[:, 1], "span_end": rows[:, 2], "partner_start": rows[:, 3]}))
+        return pd.concat(out)
+
+    return both.groupBy(_pair_shard(docs)).applyInPandas(run, ANCHORS)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, partner, size: records whose whole text is that of the partner, the least id that has it."""
+    keys = docs.select("doc_id", F.md5("text").alias("key"), F.length("text").cast("long").alias("size"))
+    classes = keys.groupBy("key", "size").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last")).filter("partner <> last").drop("last")
+    return keys.join(classes, ["key", "size"]).filter("doc_id <> partner").select("doc_id", "partner", "size")
+
+
 def _gaps(a: DataFrame) -> DataFrame:
     """Stretches between consecutive anchors of a chain, in both records (negative lengths as none)."""
     w = Window.partitionBy("doc_id", "partner", "chain").orderBy("span_start")
@@ -298,14 +470,20 @@ def _gaps(a: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
-    """Fuzzy passages: one row per chain, aligned between its anchors.
+    """Fuzzy passages: one row per chain of each two different texts, aligned between its anchors.
 
     ``edits`` is the sum of the edit distances of the gaps, ``similarity`` one minus
-    edits over the longer side. A chain never leaves its two records, so a window or
-    a group here is bounded by one record.
+    edits over the longer side. Of copies of one text, the least id has the passages;
+    each other has one row with it over the whole text (similarity 1), and so its
+    passages too. Rows stand in both directions. A chain never leaves its two records,
+    so a window or a group here is bounded by two records.
     """
-    a = durable(anchors(matches(docs, length, k)))
-    text = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= length))
+    same = durable(copies(docs))
+    extra = same.select("doc_id")
+    small = extra.limit(MOST_IDS + 1).count() <= MOST_IDS
+    text = docs.join(F.broadcast(extra) if small else extra, "doc_id", "left_anti")
+    a = durable(pair_anchors(text, length, k))
     gaps = _gaps(a)
     text = _only(text, gaps.select("doc_id").union(gaps.select(F.col("partner").alias("doc_id"))))
     side = lambda at, to: F.substring("text", F.col(at).cast("int") + 1, (F.col(to) - F.col(at)).cast("int"))
@@ -329,7 +507,12 @@ def passages(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
     )
     longer = F.greatest(F.col("span_end") - F.col("span_start"), F.col("partner_end") - F.col("partner_start"))
     out = p.join(edits, ["doc_id", "partner", "chain"], "left").withColumn("edits", F.coalesce("edits", F.lit(0).cast("long")))
-    return out.withColumn("similarity", 1 - F.col("edits") / longer).drop("chain")
+    out = out.withColumn("similarity", 1 - F.col("edits") / longer).drop("chain")
+    none = F.lit(0).cast("long")
+    whole = same.select("doc_id", "partner", none.alias("span_start"), F.col("size").alias("span_end"), none.alias("partner_start"), F.col("size").alias("partner_end"), F.col("size").alias("exact_chars"), F.lit(1).cast("long").alias("n_anchors"), none.alias("edits"), F.lit(1.0).alias("similarity"))
+    out = durable(out.unionByName(whole))
+    swap = {"doc_id": "partner", "partner": "doc_id", "span_start": "partner_start", "span_end": "partner_end", "partner_start": "span_start", "partner_end": "span_end"}
+    return out.unionByName(out.select(*(F.col(swap.get(c, c)).alias(c) for c in out.columns)))
 
 
 __all__ = ["shared_spans", "passages", "matches", "anchors", "chain", "edit_distance"]

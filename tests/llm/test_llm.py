@@ -185,3 +185,32 @@ def test_fuzzy_passages(spark):
     got = sharedspans.passages(spark.createDataFrame(docs, "doc_id long, text string"), length=30, k=18).collect()
     assert {(r.doc_id, r.partner, r.span_start, r.span_end, r.n_anchors, r.edits) for r in got} == {(1, 2, 20, 164, 2, 5), (2, 1, 0, 145, 2, 5)}
     assert all(abs(r.similarity - (1 - 5 / 145)) < 1e-12 for r in got)
+
+
+def test_passages_with_every_partner(spark):
+    """B and C are near copies; two lower ids hold one half each, and one of them holds a piece twice."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    x, y, z = word(60), word(80), "pq" * 40
+    docs = [(1, x + "1" * 9), (2, y + "2" * 7), (3, "3" * 11 + x + y), (4, x + y + "44444"), (5, x + y + "55555")]
+    docs += [(6, docs[3][1]), (7, "R" + z), (8, "S" + z[:50]), (9, "TT" + y + "UU" + y)]
+    got = sharedspans.passages(spark.createDataFrame(docs, "doc_id long, text string"), length=30, k=18).collect()
+    rows = {(r.doc_id, r.partner, r.span_start, r.span_end, r.partner_start, r.partner_end, r.exact_chars) for r in got}
+    assert len(rows) == len(got) and {(b, a, u, v, s, e, n) for a, b, s, e, u, v, n in rows} == rows
+    text = dict(docs)
+    assert all(text[a][s:e] == text[b][u:v] for a, b, s, e, u, v, n in rows if n == e - s)
+    near = {r for r in rows if {r[0], r[1]} <= {3, 4, 5, 6}}
+    assert {(3, 4, 11, 151, 0, 140, 140), (3, 5, 11, 151, 0, 140, 140), (6, 4, 0, 145, 0, 145, 145)} <= near
+    assert {(a, b) for a, b, *_ in near} == {(3, 4), (4, 3), (3, 5), (5, 3), (4, 5), (5, 4), (4, 6), (6, 4)}
+    assert {(a, b, s, e) for a, b, s, e, *_ in rows if a == 1} == {(1, b, 0, 60) for b in (3, 4, 5)}
+    assert {(s, e, u, v) for a, b, s, e, u, v, _ in rows if (a, b) == (2, 9)} == {(0, 80, 2, 82), (0, 80, 84, 164)}
+    periodic = {(s - 1, e - 1, u - 1, v - 1) for a, b, s, e, u, v, _ in rows if (a, b) == (7, 8)}
+    assert {(2 * i, 2 * i + 50, 0, 50) for i in range(16)} <= periodic
+
+
+def test_steps_of_periodic_seeds():
+    of, seed, place = np.array([0, 0, 0, 0, 1, 1]), np.array([5, 5, 5, 6, 6, 6]), np.array([0, 2, 4, 9, 0, 3])
+    first, step, count = sharedspans._runs(of, seed, place)
+    assert first.tolist() == [0, 3, 4] and step.tolist() == [2, 0, 3] and count.tolist() == [3, 1, 2]
+    closed = {(q - p, x) for p, e, q in sharedspans._hits(10, 2, 4, 50, 2, 3, 8) for x in range(p, e)}
+    assert closed == {(q - p, x) for p in range(10, 18, 2) for q in range(50, 56, 2) for x in range(p, p + 8)}
