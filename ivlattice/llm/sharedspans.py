@@ -427,8 +427,9 @@ def _in_chains(label: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarra
 def pair_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Anchors of the chains of every two records, doc_id < partner.
 
-    A span of ``length`` or more has a seed within ``length - k`` characters of both
-    ends, so runs that are extended so far are whole spans.
+    Every shared seed counts, also in a span shorter than ``length``. A span of
+    ``length`` or more has a seed within ``length - k`` characters of both ends, so
+    runs that are extended so far are whole spans.
     """
     runs = durable(pair_runs(docs, length, k))
     flanks = durable(_flanks(docs, runs, length - k))
@@ -439,8 +440,7 @@ def pair_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
         left = np.array([_alike(a[::-1], b[::-1]) for a, b in zip(pdf["before"], pdf["before2"])], np.int64)
         right = np.array([_alike(a, b) for a, b in zip(pdf["after"], pdf["after2"])], np.int64)
         pdf = pdf[["doc_id", "partner", "s", "e", "ps"]].assign(left=left, right=right)
-        pdf = pdf[pdf["e"] + pdf["right"] - pdf["s"] + pdf["left"] >= length]
-        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "partner", "chain", "span_start", "span_end", "partner_start")})]
+        out = []
         for (doc, partner), g in pdf.groupby(["doc_id", "partner"], sort=False):
             s, e, other, left, right = (g[c].to_numpy(np.int64) for c in ("s", "e", "ps", "left", "right"))
             rows = np.array(_in_chains(chain(s, e, other), s - left, e + right, other - left), np.int64)

@@ -214,3 +214,17 @@ def test_steps_of_periodic_seeds():
     assert first.tolist() == [0, 3, 4] and step.tolist() == [2, 0, 3] and count.tolist() == [3, 1, 2]
     closed = {(q - p, x) for p, e, q in sharedspans._hits(10, 2, 4, 50, 2, 3, 8) for x in range(p, e)}
     assert closed == {(q - p, x) for p in range(10, 18, 2) for q in range(50, 56, 2) for x in range(p, p + 8)}
+
+
+def test_passages_from_seeds_alone(spark):
+    """A copy with an edit every 24 to 29 characters has no exact window of 30, but shares seeds of 12."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    parts = [word(rng.randint(23, 28)) for _ in range(20)]
+    docs = [(1, "1" * 9 + "Q".join(parts)), (2, "R".join(parts) + "2" * 9), (3, word(300))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sharedspans.passages(df, length=30, k=12).collect()
+    assert sharedspans.shared_spans(df, length=30, k=12).count() == 0
+    assert {(r.doc_id, r.partner) for r in got} == {(1, 2), (2, 1)}
+    long = max(got, key=lambda r: r.exact_chars)
+    assert long.n_anchors > 5 and long.edits >= long.n_anchors - 1 and long.similarity > 0.8
