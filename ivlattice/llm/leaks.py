@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.llm.rolling import scramble
-from ivlattice.session import spread
+from ivlattice.session import shards, spread
 
 #: Words are maximal runs of Unicode letters and digits of the lower-cased text.
 WORD = r"[\p{L}\p{N}]+"
 SPAN = 12
 #: Places of a window that count; the others may be substituted.
 MASKS = ((0, 1, 3, 4, 6, 7, 9, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11))
-#: Words of context on either side of a hit that verification may use.
+#: Words of context on either side of a hit that verification may use; enough to reach from the
+#: last hit of a stretch with two substitutions to its end, as every exact run of SPAN words is a hit.
 CONTEXT = 36
 #: Bits of the filter sent to every task (1 MB), whatever the number of evaluation texts.
 FILTER_BITS = 1 << 23
@@ -72,16 +74,16 @@ def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
     return scramble(acc)
 
 
-def _context(words: np.ndarray, at: int) -> tuple[int, np.ndarray]:
+def _context(words: np.ndarray, at: int, context: int) -> tuple[int, np.ndarray]:
     """(place of the hit in it, words) around a hit."""
-    lo = max(0, at - CONTEXT)
-    return at - lo, words[lo : at + SPAN + CONTEXT]
+    lo = max(0, at - context)
+    return at - lo, words[lo : at + SPAN + context]
 
 
 SEEDS = "id long, mask int, seed long, place int, words array<long>, at int"
 
 
-def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None) -> DataFrame:
+def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None, context: int) -> DataFrame:
     """All seeds of the texts, or those whose bit is set in the broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None) -> DataFr
                     for i in np.flatnonzero(good).tolist():
                         doc, own = kept[of[i]]
                         at = i - (int(ends[of[i]]) - len(own))
-                        p, c = _context(own, at)
+                        p, c = _context(own, at, context)
                         ids.append(doc), mask_of.append(mask), seed_of.append(int(s[i].view(np.int64)))
                         place.append(p), around.append(c.view(np.int64)), where.append(at)
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +135,7 @@ def _filter(items: DataFrame) -> np.ndarray:
         used = np.flatnonzero(bits)
         yield pd.DataFrame({"byte": used.astype(np.int64), "bits": bits[used].astype(np.int64)})
 
-    rows = _seeds(items, "item_id", None).select("seed").mapInPandas(part, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = _seeds(items, "item_id", None, 0).select("seed").mapInPandas(part, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
     return out
@@ -159,31 +161,79 @@ def verify(doc: np.ndarray, p: int, item: np.ndarray, q: int, substitutions: int
     return exact, tolerant
 
 
+def _hits(docs: DataFrame, items: DataFrame, context: int) -> DataFrame:
+    """doc_id, item_id, places of a hit in both texts, and the words around it with the hit's place among them."""
+    keep = docs.sparkSession.sparkContext.broadcast(_filter(items))
+    d = _seeds(docs, "doc_id", keep, context).selectExpr("id doc_id", "mask", "seed", "at", "place p", "words dw")
+    e = _seeds(items, "item_id", None, context).selectExpr("id item_id", "mask", "seed", "at item_at", "place q", "words ew")
+    return d.join(e, ["mask", "seed"]).select("doc_id", "item_id", "p", "dw", "q", "ew", "at", "item_at")
+
+
+def stretches(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, miss: np.ndarray, substitutions: int) -> tuple[int, int]:
+    """As ``verify``, over all pieces [lo, hi) of one diagonal with hits at ``at`` and differing words at ``miss``."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
+    at, miss = np.unique(at), np.unique(miss)
+    exact = tolerant = 0
+    for a, b in zip(lo[first].tolist(), hi[np.r_[first[1:], len(lo)] - 1].tolist()):
+        edges = np.r_[a - 1, miss[(miss >= a) & (miss < b)], b]
+        for more in (0, substitutions):
+            i = np.arange(len(edges) - 1)
+            start, end = edges[i] + 1, edges[np.minimum(i + 1 + more, len(edges) - 1)]
+            hit = np.r_[at, np.iinfo(np.int64).max][np.searchsorted(at, start - SPAN, side="right")]
+            best = int((end - start)[hit < end].max(initial=0))
+            exact, tolerant = max(exact, best) if more == 0 else exact, max(tolerant, best)
+    return exact, tolerant
+
+
 def overlaps(docs: DataFrame, items: DataFrame, substitutions: int = 2) -> DataFrame:
     """doc_id, item_id, exact_words, near_words of every pair with a hit.
 
-    ``exact_words``: the longest run of equal words through a hit (within CONTEXT
-    words of it); ``near_words``: the longest stretch with at most ``substitutions``
-    differing words.
+    ``exact_words``: the longest run of equal words through a hit; ``near_words``:
+    the longest stretch with at most ``substitutions`` differing words. The pieces
+    around the hits of a diagonal are merged, so neither has a bound.
     """
-    keep = docs.sparkSession.sparkContext.broadcast(_filter(items))
-    d = _seeds(docs, "doc_id", keep).selectExpr("id doc_id", "mask", "seed", "place p", "words dw")
-    e = _seeds(items, "item_id", None).selectExpr("id item_id", "mask", "seed", "place q", "words ew")
-    hits = d.join(e, ["mask", "seed"]).select("doc_id", "item_id", "p", "dw", "q", "ew")
+    hits = _hits(docs, items, max(CONTEXT, SPAN * (substitutions + 1)))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, item, p, dw, q, ew = batch.columns
-            got = [
-                verify(a.values.to_numpy(), i, b.values.to_numpy(), j, substitutions)
-                for a, i, b, j in zip(dw, p.to_pylist(), ew, q.to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([doc, item, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())], names=["doc_id", "item_id", "exact_words", "near_words"])
-
-    checked = hits.mapInArrow(check, "doc_id long, item_id long, exact_words int, near_words int")
-    return checked.groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("near_words").alias("near_words"))
+            doc, item, p, dw, q, ew, at, item_at = batch.columns
+            lo, hi, miss = [], [], []
+            for a, i, b, j, x in zip(dw, p.to_pylist(), ew, q.to_pylist(), at.to_pylist()):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                before, after = min(i, j), min(len(a) - i, len(b) - j)
+                lo.append(x - before), hi.append(x + after)
+                miss.append(np.flatnonzero(a[i - before : i + after] != b[j - before : j + after]) + x - before)
+            yield pa.RecordBatch.from_arrays(
+                [doc, item, pc.subtract(at, item_at), at, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(miss, pa.list_(pa.int32()))],
+                names=["doc_id", "item_id", "diagonal", "at", "lo", "hi", "miss"],
+            )
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for (doc, item), pair in pdf.groupby(["doc_id", "item_id"], sort=False):
+            exact = near = 0
+            for _, g in pair.groupby("diagonal", sort=False):
+                of = [g[c].to_numpy(np.int64) for c in ("lo", "hi", "at")]
+                x, y = stretches(*of, np.concatenate(g["miss"].tolist()).astype(np.int64), substitutions)
+                exact, near = max(exact, x), max(near, y)
+            rows.append((doc, item, exact, near))
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "near_words"])
+
+    found = hits.mapInArrow(pieces, "doc_id long, item_id long, diagonal int, at int, lo int, hi int, miss array<int>")
+    shard = F.pmod(F.xxhash64("doc_id", "item_id"), F.lit(2 * shards(docs.sparkSession))).alias("shard")
+    return found.groupBy(shard).applyInPandas(merge, "doc_id long, item_id long, exact_words int, near_words int")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id where the document holds at least SPAN consecutive words of the item."""
-    return overlaps(docs, items).filter(F.col("exact_words") >= SPAN).select("doc_id", "item_id")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, item, p, dw, q, ew = batch.columns
+            exact = [verify(a.values.to_numpy(), i, b.values.to_numpy(), j, 0)[0] for a, i, b, j in zip(dw, p.to_pylist(), ew, q.to_pylist())]
+            yield pa.RecordBatch.from_arrays([doc, item, pa.array(exact, pa.int32())], names=["doc_id", "item_id", "exact_words"])
+
+    checked = _hits(docs, items, CONTEXT).drop("at", "item_at").mapInArrow(check, "doc_id long, item_id long, exact_words int")
+    return checked.filter(F.col("exact_words") >= SPAN).select("doc_id", "item_id").distinct()

@@ -228,3 +228,25 @@ def test_passages_from_seeds_alone(spark):
     assert {(r.doc_id, r.partner) for r in got} == {(1, 2), (2, 1)}
     long = max(got, key=lambda r: r.exact_chars)
     assert long.n_anchors > 5 and long.edits >= long.n_anchors - 1 and long.similarity > 0.8
+
+
+def test_overlaps_of_long_items(spark):
+    item = [f"w{i}" for i in range(500)]
+    near = item.copy()
+    near[150], near[320] = "x", "y"
+    docs = [(1, " ".join(["a"] * 7 + item)), (2, " ".join(near)), (3, " ".join(item[40:140] + ["z"] * 200 + item[200:330])), (4, " ".join(item[:11]))]
+    got = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
+    assert {(r.doc_id, r.exact_words, r.near_words) for r in got.collect()} == {(1, 500, 500), (2, 179, 500), (3, 130, 132)}
+
+
+def test_stretches_equal_verification():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(12, 45))
+        item = rng.integers(1, 99, n)
+        doc = np.where(rng.random(n) < 0.08, 0, item)
+        at = [i for i in range(n - 11) if (doc[i : i + 12] == item[i : i + 12]).all()]
+        if at:
+            each = [leaks.verify(doc, i, item, i, 2) for i in at]
+            want = max(x for x, _ in each), max(y for _, y in each)
+            assert leaks.stretches(np.zeros(len(at), np.int64), np.full(len(at), n), np.array(at), np.flatnonzero(doc != item), 2) == want
