@@ -179,7 +179,32 @@ def p7_filled_ohlc(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("source").alias("instrument"), hour_text(F.col("slot")).alias("slot_start"), "value", "missing")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept_trades, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p5_found, p5_trailing, p7_found, p7_filled_ohlc)}
+def p7_filled_ohlc_daily(spark: SparkSession, d: str) -> DataFrame:
+    hour = F.struct(F.col("slot").alias("h"), F.col("order").alias("s"))
+    days = _ohlc_readings(spark, d).select("source", "value", hour.alias("order"), floor_div(F.col("slot"), 24).alias("slot"))
+    return _filled(days, 256, 24, need_value=True)
+
+
+def _filled(readings: DataFrame, width: int, hours: int, need_value: bool) -> DataFrame:
+    g = regulargrid.regular_grid(readings, width, need_value)
+    return g.select(F.col("source").alias("instrument"), hour_text(F.col("slot") * hours).alias("slot_start"), "value", "missing")
+
+
+def _priced_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of which the last with a price gives a slot its value."""
+    t = table(spark, d, "trades_options").withColumn("order", F.struct(micros("ts").alias("t"), F.col("ingest_seq").alias("s")))
+    return t.select(clean_name("instrument").alias("source"), "ts", F.col("price_btc").alias("value"), F.when(F.col("price_btc").isNotNull(), F.col("order")).alias("order"))
+
+
+def p7_filled_trades(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(_priced_trades(spark, d).withColumn("slot", utc_hour("ts")), 24 * 32, 1, need_value=False)
+
+
+def p7_filled_trades_daily(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(_priced_trades(spark, d).withColumn("slot", utc_day("ts")), 256, 24, need_value=False)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept_trades, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p5_found, p5_trailing, p7_found, p7_filled_ohlc, p7_filled_ohlc_daily, p7_filled_trades, p7_filled_trades_daily)}
 
 _CLOSES = """
 WITH raw AS (

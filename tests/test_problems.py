@@ -249,3 +249,20 @@ def test_regular_grid(spark, width):
 def test_day_of_symbol():
     assert badrows.symbol_parts("BTC-29FEB24-1-C")[0] == dt.date(2024, 2, 29)
     assert badrows.symbol_parts("BTC-29FEB23-1-C") is None
+
+
+def test_filled_series_of_candles_and_trades(spark, tmp_path):
+    from ivlattice.plans import problems
+
+    at = lambda day, hour, minute=0: dt.datetime(2024, 1, day, hour, minute, tzinfo=dt.timezone.utc)
+    ohlc = [(at(1, 5), "F", 1.0, 9), (at(1, 20), "F", 2.0, 1), (at(1, 20), "F", 3.0, 2), (at(1, 23), "F", None, 3), (at(3, 0), "F", 4.0, 4)]
+    trades = [(at(1, 22, 1), " x", 5.0, 1), (at(1, 22, 2), "X", None, 2), (at(2, 0), "X", None, 3), (at(2, 1), "x ", 6.0, 4), (at(4, 0), "X", 7.0, 5)]
+    spark.createDataFrame(ohlc, "ts timestamp, instrument string, close double, ingest_seq long").write.parquet(f"{tmp_path}/ohlc.parquet")
+    spark.createDataFrame(trades, "ts timestamp, instrument string, price_btc double, ingest_seq long").write.parquet(f"{tmp_path}/trades_options.parquet")
+    got = lambda name: sorted(tuple(r) for r in problems.QUERIES[name](spark, str(tmp_path)).collect())
+    day = lambda n: f"2024-01-0{n} 00:00:00"
+    assert got("p7_filled_ohlc_daily") == [("F", day(1), 3.0, False), ("F", day(2), 3.0, True), ("F", day(3), 4.0, False)]
+    assert got("p7_filled_trades_daily") == [("X", day(1), 5.0, False), ("X", day(2), 6.0, False), ("X", day(3), 6.0, True), ("X", day(4), 7.0, False)]
+    hours = got("p7_filled_trades")
+    assert len(hours) == 51 and hours[:4] == [("X", f"2024-01-01 {h}:00:00", 5.0, h == 23) for h in (22, 23)] + [("X", day(2), 5.0, False), ("X", "2024-01-02 01:00:00", 6.0, False)]
+    assert all(r[2:] == (6.0, True) for r in hours[4:-1]) and hours[-1] == ("X", day(4), 7.0, False)
