@@ -300,6 +300,14 @@ def implied_volatility(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(black76.implied_vol_udf()("price", "f", "k", "t", "cp"), 6).alias("iv"))
 
 
+@query()
+def implied_volatility_repriced(spark: SparkSession, d: str) -> DataFrame:
+    """Every contract, deep ones included: its price, the implied volatility (0 or NaN as defined) and the price that gives."""
+    p = black76.priced(_contracts(spark, d), "f", "k", "t", "v", "cp").withColumn("iv", black76.implied_vol_udf()("price", "f", "k", "t", "cp"))
+    again = black76.priced(p.select("p_partkey", "f", "k", "t", "iv", "cp"), "f", "k", "t", "iv", "cp").select("p_partkey", F.col("price").alias("repriced"))
+    return p.select("p_partkey", "f", "k", "cp", "price", "iv").join(again, "p_partkey")
+
+
 _SLICES = """WITH s AS (SELECT s_suppkey, unnest(range(21)) AS i, 0.01 + 0.0005 * (s_suppkey % 40) AS a, 0.1 + 0.01 * (s_suppkey % 25) AS b, -0.6 + 0.04 * (s_suppkey % 30) AS rho, 0.02 * (s_suppkey % 7) - 0.06 AS m, 0.05 + 0.03 * (s_suppkey % 9) AS sg FROM supplier),
 g AS (SELECT *, -1 + 0.1 * i AS k, sqrt((-1 + 0.1 * i - m) * (-1 + 0.1 * i - m) + sg * sg) AS r FROM s),
 v AS (SELECT s_suppkey, i, k, a + b * (rho * (k - m) + r) AS w, b * (rho + (k - m) / r) AS d1, b * sg * sg / (r * r * r) AS d2 FROM g)

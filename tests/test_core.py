@@ -269,3 +269,16 @@ def test_registered_functions(spark):
     p = np.array([0.04, 0.15, -0.3, 0.05, 0.15])
     assert abs(r.w - svifit.variance(p, np.array([0.1]))[0]) < 1e-12 and abs(r.g - svifit.durrleman(p, np.array([0.1]))[0]) < 1e-12
     assert abs(r.v - 0.6) < 1e-9 and r.k == "40000"
+
+
+def test_implied_volatility_of_every_contract(spark):
+    from pathlib import Path
+
+    from ivlattice.plans import market
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test tables here")
+    rows = market.QUERIES["implied_volatility_repriced"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+    worth = lambda r: max(0.0, r.cp * (r.f - r.k))
+    assert all(abs(r.repriced - r.price) < 1e-7 * r.f if r.iv > 0 else r.price - worth(r) < 1e-7 * r.f for r in rows)
