@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ def local_session(cores: str = "8", app: str = "ivlattice") -> SparkSession:
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -30,25 +32,39 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shards(spark: SparkSession) -> int:
-    """Number of hash shards for grouped Arrow work: the session's shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session, set in the context.
 
-    It is the session's spark.checkpoint.dir; only where that is unset (tests, a
-    laptop) a fresh temporary one is made.
+    It is the session's spark.checkpoint.dir. Where that is unset, a local session
+    (tests, a laptop) gets a fresh temporary one; a cluster is refused, as its nodes
+    would each write to a folder of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder on whatever file system it lies; False if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, which survives lost executors."""
+    """Cut lineage through the shared checkpoint folder, which survives lost executors.
+
+    Spark deletes the files once nothing refers to them, if the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -56,8 +72,12 @@ def durable(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over the cores, if the scan has fewer splits than there are cores.
 
-    Only small or badly split input is moved; a table of many files stays where it is read.
+    Only small or badly split input is moved; a table of many files stays where it is
+    read. Rows that a shuffle has dealt out already are left alone, and no job runs to
+    find out.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

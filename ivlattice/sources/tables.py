@@ -47,13 +47,17 @@ def read_chain_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of CSV files as line_id, file_name, line_no, raw_line for badrows.
 
-    ``line_no`` is 1 for lines equal to the header, whatever file part they are in;
-    ids are unique, not consecutive.
+    ``line_no`` is 1 for the first line of a file if it is the header, 2 for all
+    others, also for a header that stands further down; ids are unique, not
+    consecutive.
     """
     header = ",".join(f.name for f in record_type())
-    t = spark.read.text(path).select("value", F.input_file_name().alias("file_name"))
+    t = spark.read.text(path).select("value", F.input_file_name().alias("file_name"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("line_id"))
+    # one row per file: ids grow within a block, and the first block holds the first line
+    first = t.filter("block = 0").groupBy("file_name").agg(F.min("line_id").alias("first_id"))
     bare = F.replace(F.rtrim(F.col("value")), F.lit('"'), F.lit(""))
-    return t.select(F.monotonically_increasing_id().alias("line_id"), "file_name", F.when(bare == header, 1).otherwise(2).alias("line_no"), F.col("value").alias("raw_line"))
+    is_header = (F.col("line_id") == F.col("first_id")) & (bare == header)
+    return t.join(first, "file_name", "left").select("line_id", "file_name", F.when(is_header, 1).otherwise(2).alias("line_no"), F.col("value").alias("raw_line"))
 
 
 SNAPSHOT = T.StructType(

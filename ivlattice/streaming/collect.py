@@ -32,11 +32,28 @@ def day_totals(events: DataFrame, ts: str, keys: list[str], value: str, delay: s
 
 
 def write_stream_days(rows: DataFrame, path: str, checkpoint: str, day: str = "snap_date") -> StreamingQuery:
-    """Whole days replaced per batch: a batch that is replayed writes the same files again."""
-    return (
-        rows.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: write_days(batch, path, day))
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Appends a stream to a table in folders batch_id=N/day.
+
+    Each batch owns its folder: a batch that is replayed after a failure overwrites
+    just that, and a later batch with rows of the same day adds to them.
+    """
+    return written_batches(rows, path, checkpoint, "append", [day])
+
+
+def written_batches(rows: DataFrame, path: str, checkpoint: str, mode: str = "append", by: list[str] | None = None) -> StreamingQuery:
+    """Everything there is of a stream, a folder for each batch (one for all in complete mode), then it stops."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        write_batch(batch, path, 0 if mode == "complete" else n, by)
+
+    return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def write_batch(batch: DataFrame, path: str, n: int, by: list[str] | None = None) -> None:
+    out = batch.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+    (out.partitionBy(*by) if by else out).parquet(f"{path}/batch_id={n}")
+
+
+def compact_days(spark: SparkSession, path: str, to: str, day: str = "snap_date") -> None:
+    """The batches of a streamed table as one folder per day; the days it has are replaced whole."""
+    write_days(spark.read.parquet(path).drop("batch_id"), to, day)

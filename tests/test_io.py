@@ -68,6 +68,9 @@ def test_csv_lines_round_trip(spark, tmp_path):
     (tmp_path / "x.csv").write_text(",".join(badrows.COLUMNS) + "\n" + good + "\n" + "bad\n")
     lines = tables.read_lines(spark, str(tmp_path / "x.csv"))
     assert badrows.loaded_lines(lines).count() == 1 and [r.reason for r in badrows.broken_lines(lines).collect()] == ["columns"]
+    (tmp_path / "z.csv").write_text(",".join(badrows.COLUMNS) + "\n" + good + "\n" + ",".join(badrows.COLUMNS) + "\n")
+    again = tables.read_lines(spark, str(tmp_path / "z.csv"))
+    assert badrows.loaded_lines(again).count() == 1 and [r.reason for r in badrows.broken_lines(again).collect()] == ["value"]
     (tmp_path / "y.csv").write_text(",".join(badrows.COLUMNS) + "\n" + good + "\n")
     assert tables.read_chain_csv(spark, str(tmp_path / "y.csv")).first().strike_price == 7.5
 
@@ -96,3 +99,33 @@ def test_payload_pages_become_tables(spark):
     assert payloads.deliveries(one({"data": [{"date": "2024-01-01", "delivery_price": 5.0}], "records_total": 1}, index="i")).first().delivery_price == 5.0
     i = payloads.instruments(one([{"instrument_name": "A", "kind": "option", "expiration_timestamp": 0, "strike": 1.0, "option_type": "put"}])).first()
     assert i.cp == "P" and i.creation_ts is None
+
+
+def test_batches_of_one_day_all_stay_and_a_replay_adds_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, hour in (("a", 8), ("b", 9)):
+        line = SNAPS[0] | {"snap_ts": f"2024-01-01T0{hour}:00:00+00:00", "book_summary": [{"instrument_name": name, "open_interest": 1.0}]}
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(line))
+    live = collect.collected_interest(collect.stream_snapshots(spark, str(tmp_path / "in"), per_batch=1)).withColumn("snap_date", F.to_date("source_ts"))
+    out = str(tmp_path / "out")
+    assert collect.write_stream_days(live, out, str(tmp_path / "ck")).awaitTermination(60)
+    names = lambda: sorted(r.instrument for r in spark.read.parquet(out).collect())
+    assert names() == ["a", "b"]
+    again = spark.read.parquet(f"{out}/batch_id=1")
+    collect.write_batch(spark.createDataFrame(again.collect(), again.schema), out, 1, ["snap_date"])
+    assert names() == ["a", "b"]
+    collect.compact_days(spark, out, str(tmp_path / "days"))
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from ivlattice import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_folder(SimpleNamespace(sparkContext=sc, conf=conf))
