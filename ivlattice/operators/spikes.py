@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ivlattice.operators.shardedtime import tiled
-from ivlattice.session import durable, shards
+from ivlattice.operators.sortedruns import GROUP_ROWS, in_runs
+from ivlattice.session import durable
 
 HOUR_US = 3_600_000_000
 NORMAL, SPIKE, STUCK, OUT = range(4)
@@ -231,6 +232,7 @@ def flag_readings(
     run: int = 8,
     size: int = 20_000,
     cell_us: int = HOUR_US,
+    most: int = GROUP_ROWS,
 ) -> DataFrame:
     """Flags of all readings that are not normal.
 
@@ -238,11 +240,11 @@ def flag_readings(
     (microseconds), record string (equal for copies), row_key long, value double,
     and any covariates. ``expect[kind](frame, series)`` may give the level a
     reading should have; the default is a constant, so only neighbours count.
-    Returns kind, row_key, flag, probability.
+    Returns kind, row_key, flag, probability. Python gets whole tiles, ``most`` rows at
+    a time and the rest of one tile.
     """
     covariates = covariates or []
     expect = expect or {}
-    n = shards(readings.sparkSession)
     rows = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).dropna(subset=["source", "record", "at"])
     cut = tiled(rows, ["kind", "source"], "at", cell_us, size, halo=2 * PIECE)
     # copies of a record with one value become one row before anything is grouped in Python
@@ -254,7 +256,6 @@ def flag_readings(
         F.max("__core").alias("__core"),
     )
     records = records.select(*keys, "r.*", "last_key", "copies", "__core")
-    records = records.withColumn("shard", F.pmod(F.xxhash64("kind", "source", "__tile"), F.lit(2 * n)))
 
     def chains(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -269,7 +270,7 @@ def flag_readings(
         return pd.concat(parts)
 
     schema = "kind string, source string, record string, value double, row_key long, last_key long, copies long, flag string, probability double"
-    flagged = durable(records.groupBy("shard").applyInPandas(chains, schema))
+    flagged = durable(in_runs(records, ["kind", "source", "__tile"], chains, schema, most))
     # one or two copies are known by their first and last key; only rows with more are looked up
     ends = F.explode(F.array_distinct(F.array("row_key", "last_key"))).alias("row_key")
     few = flagged.filter("copies <= 2").select("kind", ends, "flag", "probability")

@@ -146,14 +146,13 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    t = trailing.trailing_totals(_closes(spark, d))
+    t = trailing.trailing_totals(_closes(spark, d), digits=8)
     return _named(t.filter((F.col("n7") > 0) & (F.abs(F.try_divide("avg7", "avg30") - 1) >= 0.2))).select("table_name", "entity", "day_utc")
 
 
 def p5_trailing(spark: SparkSession, d: str) -> DataFrame:
-    t = _named(trailing.trailing_totals(_closes(spark, d)))
-    r = lambda c: F.round(c, 6).alias(c)
-    return t.select("table_name", "entity", "day_utc", "n7", "n30", r("sum7"), r("sum30"), r("avg7"), r("avg30"))
+    t = _named(trailing.trailing_totals(_closes(spark, d), digits=8))
+    return t.select("table_name", "entity", "day_utc", "n7", "n30", "sum7", "sum30", "avg7", "avg30")
 
 
 def _ohlc_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -211,11 +210,11 @@ WITH raw AS (
   SELECT 'ohlc' AS table_name, instrument AS entity, epoch_us(ts) // 3600000000 AS h, close, ingest_seq FROM ohlc WHERE close IS NOT NULL
   UNION ALL SELECT 'dvol', currency, epoch_us(ts) // 3600000000, close, ingest_seq FROM dvol WHERE close IS NOT NULL),
 hourly AS (SELECT table_name, entity, h, arg_max(close, ingest_seq) AS close FROM raw GROUP BY ALL),
-daily AS (SELECT table_name, entity, h // 24 AS day, sum(close) AS s, count(*) AS n FROM hourly GROUP BY ALL),
+daily AS (SELECT table_name, entity, h // 24 AS day, sum(CAST(round(close * 1e8) AS HUGEINT)) AS s, count(*) AS n FROM hourly GROUP BY ALL),
 span AS (SELECT table_name, entity, unnest(generate_series(min(day), max(day))) AS day FROM daily GROUP BY table_name, entity),
 full_days AS (SELECT p.table_name, p.entity, p.day, coalesce(d.s, 0) AS s, coalesce(d.n, 0) AS n FROM span p LEFT JOIN daily d USING (table_name, entity, day)),
 roll AS (SELECT table_name, entity, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day_utc,
-  sum(s) OVER w7 AS s7, sum(n) OVER w7 AS c7, sum(s) OVER w30 AS s30, sum(n) OVER w30 AS c30 FROM full_days
+  CAST(sum(s) OVER w7 AS DOUBLE) / 1e8 AS s7, sum(n) OVER w7 AS c7, CAST(sum(s) OVER w30 AS DOUBLE) / 1e8 AS s30, sum(n) OVER w30 AS c30 FROM full_days
   WINDOW w7 AS (PARTITION BY table_name, entity ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY table_name, entity ORDER BY day ROWS 29 PRECEDING))
 """
 
@@ -260,8 +259,8 @@ w AS (SELECT ingest_seq, ts, 'dvol' AS table_name, split_part(i, '-', 1) AS e FR
 SELECT w.ingest_seq AS event_seq, w.table_name, arg_max(k.ingest_seq, (k.ts, k.ingest_seq)) AS known_seq
 FROM w JOIN k ON w.table_name = k.table_name AND w.e = k.e AND k.ingest_ts <= w.ts GROUP BY w.ingest_seq, w.table_name""",
     "p5_found": _CLOSES + "SELECT table_name, entity, day_utc FROM roll WHERE c7 > 0 AND abs((s7 / c7) / (s30 / c30) - 1) >= 0.2",
-    "p5_trailing": _CLOSES + """SELECT table_name, entity, day_utc, CAST(c7 AS BIGINT) AS n7, CAST(c30 AS BIGINT) AS n30, round(s7, 6) AS sum7, round(s30, 6) AS sum30,
-  round(CASE WHEN c7 > 0 THEN s7 / c7 END, 6) AS avg7, round(CASE WHEN c30 > 0 THEN s30 / c30 END, 6) AS avg30 FROM roll""",
+    "p5_trailing": _CLOSES + """SELECT table_name, entity, day_utc, CAST(c7 AS BIGINT) AS n7, CAST(c30 AS BIGINT) AS n30, s7 AS sum7, s30 AS sum30,
+  CASE WHEN c7 > 0 THEN s7 / c7 END AS avg7, CASE WHEN c30 > 0 THEN s30 / c30 END AS avg30 FROM roll""",
     "p7_found": """
 WITH o AS (SELECT 'ohlc' AS table_name, instrument, epoch_us(ts) // 3600000000 AS slot, 3600000000 AS step FROM ohlc WHERE close IS NOT NULL
   UNION SELECT 'trades_options', upper(trim(instrument)), epoch_us(ts) // 86400000000, 86400000000 FROM trades_options),
