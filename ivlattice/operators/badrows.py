@@ -1,10 +1,11 @@
 """Rows that fail to parse, set apart with their reason while the rest is loaded.
 
 Each task reads its lines in Arrow blocks. A block is parsed at once by the
-columnar CSV reader and checked column by column; if anything in it fails, it is
-cut in two and each half is tried again, so that good lines stay on the fast path
-and bad ones are isolated in log-many steps. Lines still failing in the smallest
-blocks are diagnosed one by one by a strict reader, which alone decides.
+columnar CSV reader and checked column by column; the checks give a mask of the
+lines that may be broken. A block with such a line is cut in two, and each half
+again, by slices of that mask, so that all good lines stay on the fast path and bad
+ones are isolated in log-many steps. Lines that are left alone are diagnosed by a
+strict reader, which alone decides.
 
 Reasons, the first that applies: ``quoting``, ``columns``, ``value``.
 Defined results: a null line counts as an empty one (one field, so ``columns``);
@@ -20,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as csv
@@ -45,7 +47,9 @@ WELL_QUOTED = r'\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
 SYMBOL = r"\A([A-Z]{3})-([0-9]{1,2})(" + "|".join(MONTHS) + r")([0-9]{2})-([0-9]+(?:\.[0-9]+)?)-(C|P)\z"
 DIGITS = r"\A[0-9]{1,18}\z"
 NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-SMALLEST = 64
+# Numbers that the columnar reader takes and that are finite; others are left to the strict one.
+SURE = r"\A-?[0-9]{1,40}(?:\.[0-9]{1,40})?(?:[eE][+-]?[0-9]{1,2})?\z"
+QUOTED = r'"(?:[^"]|"")*"'
 
 # The strict reader is written for Python's re, where \z is spelt \Z.
 _WELL_QUOTED = re.compile(WELL_QUOTED.replace(r"\z", r"\Z"))
@@ -131,85 +135,98 @@ _PARSE = csv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False)
 _CONVERT = csv.ConvertOptions(column_types={c: pa.string() for c in COLUMNS}, strings_can_be_null=False, quoted_strings_can_be_null=False)
 
 
-def _all(mask: pa.ChunkedArray | pa.Array) -> bool:
-    return bool(pc.all(mask, min_count=0).as_py())
+def _bits(mask: pa.Array) -> np.ndarray:
+    return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
 
-def bulk_parse(lines: pa.Array) -> pa.StructArray | None:
-    """All lines of a block as records, or None if any of them may be broken.
+def _splittable(lines: pa.Array) -> np.ndarray:
+    """Which lines certainly are well quoted and have all fields."""
+    quotes = _bits(pc.match_substring(lines, '"'))
+    commas = pc.count_substring(lines, ",").to_numpy(zero_copy_only=False)
+    ok = ~_bits(pc.match_substring_regex(lines, "[\r\n]|\\A\ufeff")) & (quotes | (commas == len(COLUMNS) - 1))
+    at = np.flatnonzero(ok & quotes)
+    if len(at):
+        quoted = lines.take(pa.array(at))
+        outside = pc.replace_substring_regex(quoted, QUOTED, "")
+        whole = pc.equal(pc.count_substring(outside, ","), len(COLUMNS) - 1)
+        ok[at] = _bits(pc.and_(pc.match_substring_regex(quoted, WELL_QUOTED), whole))
+    return ok
 
-    It accepts only what the strict reader accepts; whatever it isn't sure of it
-    leaves to the next halving.
-    """
-    if lines.null_count or _all(pc.invert(pc.match_substring(lines, "\n"))) is False:
-        return None
-    lines = pc.replace_substring_regex(lines, r"\r\z", "")
-    if not _all(pc.invert(pc.match_substring(lines, "\r"))) or not _all(pc.match_substring_regex(lines, WELL_QUOTED)):
-        return None
-    try:
-        text = "\n".join(lines.to_pylist()) + "\n"
-        got = csv.read_csv(pa.BufferReader(text.encode()), _READ, _PARSE, _CONVERT)
-    except pa.ArrowInvalid:
-        return None
+
+def _by_symbol(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strike (NaN if the name isn't one), whether it is a call, and the due time in ms, worked out once a name."""
+    names = symbols.dictionary_encode()
+    parts = [symbol_parts(x) for x in names.dictionary.to_pylist()]
+    strike = np.array([np.nan if p is None else p[1] for p in parts])
+    call = np.array([p is not None and p[2] == "call" for p in parts], bool)
+    due = np.array([0 if p is None else (p[0] - dt.date(1970, 1, 1)).days * 86_400_000 + 28_800_000 for p in parts], np.int64)
+    at = names.indices.to_numpy()
+    return strike[at], call[at], due[at]
+
+
+def _typed(lines: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """Typed columns of splittable lines, and which rows certainly hold valid values (the rest are null)."""
+    text = "\n".join(lines.to_pylist()) + "\n"
+    got = csv.read_csv(pa.BufferReader(text.encode()), _READ, _PARSE, _CONVERT)
     if got.num_rows != len(lines):
-        return None
+        raise pa.ArrowInvalid("lines were joined or split")
     out = {c: pc.utf8_trim(got[c].combine_chunks(), BLANKS) for c in COLUMNS}
-    sym = out["symbol"]
-    if not _all(pc.match_substring_regex(sym, SYMBOL)):
-        return None
-    parts = pc.extract_regex(sym, SYMBOL.replace("([A-Z]{3})", "(?P<ccy>[A-Z]{3})").replace("([0-9]{1,2})", "(?P<d>[0-9]{1,2})").replace("(JAN", "(?P<m>JAN").replace("([0-9]{2})", "(?P<y>[0-9]{2})").replace("([0-9]+(?:", "(?P<k>[0-9]+(?:").replace("(C|P)", "(?P<cp>C|P)"))
+    strike, call, due = _by_symbol(out["symbol"])
+    ok = _bits(pc.equal(out["type"], pa.array(np.where(call, "call", "put")))) & ~np.isnan(strike)
     for c in WHOLE:
-        if not _all(pc.match_substring_regex(out[c], DIGITS)):
-            return None
-        out[c] = pc.cast(out[c], pa.int64())
-        if not _all(pc.greater(out[c], 0)):
-            return None
+        good = pc.match_substring_regex(out[c], DIGITS)
+        out[c] = pc.cast(pc.if_else(good, out[c], None), pa.int64())
+        ok &= _bits(pc.greater(out[c], 0))
     for c in ["strike_price", *NUMERIC]:
-        blank = pc.equal(out[c], "")
-        if c == "strike_price" and not _all(pc.invert(blank)):
-            return None
-        if not _all(pc.or_(blank, pc.match_substring_regex(out[c], NUMBER))):
-            return None
-        plain = pc.replace_substring_regex(pc.if_else(blank, None, out[c]), r"\A\+", "")
-        try:
-            out[c] = pc.cast(plain, pa.float64())
-        except pa.ArrowInvalid:
-            return None
-        if not _all(pc.fill_null(pc.is_finite(out[c]), True)):
-            return None
-    strike = pc.cast(parts.field("k"), pa.float64())
-    if not _all(pc.and_(pc.greater(out["strike_price"], 0), pc.equal(out["strike_price"], strike))):
-        return None
-    if not _all(pc.equal(out["type"], pc.if_else(pc.equal(parts.field("cp"), "C"), "call", "put"))):
-        return None
-    month = pc.cast(pc.add(pc.index_in(parts.field("m"), pa.array(MONTHS)), 1), pa.string())
-    iso = pc.binary_join_element_wise("20", parts.field("y"), "-", pc.utf8_lpad(month, 2, "0"), "-", pc.utf8_lpad(parts.field("d"), 2, "0"), "")
-    try:
-        day = pc.cast(pc.cast(iso, pa.date32()), pa.int32())
-    except pa.ArrowInvalid:
-        return None
-    due = pc.add(pc.multiply(pc.cast(day, pa.int64()), 86_400_000), 28_800_000)
-    if not _all(pc.equal(out["expiration"], due)):
-        return None
-    return pa.StructArray.from_arrays([out[c] for c in COLUMNS], fields=list(ARROW_RECORD))
+        sure = pc.match_substring_regex(out[c], SURE)
+        ok &= _bits(sure if c == "strike_price" else pc.or_(sure, pc.equal(out[c], "")))
+        out[c] = pc.cast(pc.if_else(sure, out[c], None), pa.float64())
+    price = out["strike_price"].to_numpy(zero_copy_only=False)
+    ok &= (price > 0) & (price == strike) & _bits(pc.equal(out["expiration"], pa.array(due)))
+    return out, ok
+
 
+def bulk_parse(lines: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """All lines of a block as records, and a mask of those that may be broken (their records mean nothing).
 
-def parse_block(lines: pa.Array) -> Iterator[tuple[int, int, pa.StructArray | None, list[str | None]]]:
-    """(start, length, records or None, reasons) of consecutive parts of a block."""
+    It accepts only what the strict reader accepts; whatever it isn't sure of it masks.
+    """
+    none = pa.nulls(len(lines), ARROW_RECORD)
+    body = pc.replace_substring_regex(lines, "\r\\z", "") if _bits(pc.ends_with(lines, "\r")).any() else lines
+    good = _splittable(body)
+    at = np.flatnonzero(good)
+    if not len(at):
+        return none, ~good
+    try:
+        columns, ok = _typed(body.take(pa.array(at)))
+    except pa.ArrowInvalid:
+        # the reader stumbles somewhere: the halves are read each by itself
+        if len(lines) == 1:
+            return none, np.ones(1, bool)
+        halves = [bulk_parse(lines[: len(lines) // 2]), bulk_parse(lines[len(lines) // 2 :])]
+        return pa.concat_arrays([r for r, _ in halves]), np.concatenate([m for _, m in halves])
+    row = np.cumsum(good) - 1
+    records = pa.StructArray.from_arrays([columns[c] for c in COLUMNS], fields=list(ARROW_RECORD))
+    good[at] = ok
+    return records.take(pa.array(np.maximum(row, 0))), ~good
+
+
+def parse_block(lines: pa.Array) -> Iterator[tuple[int, int, pa.StructArray, list[str | None]]]:
+    """(start, length, records, reasons) of consecutive parts of a block: runs of good lines and single doubtful ones."""
+    records, doubt = bulk_parse(lines)
+    before = np.r_[0, np.cumsum(doubt)].tolist()
     todo = [(0, len(lines))]
     while todo:
         start, n = todo.pop()
         if n == 0:
             continue
-        part = lines.slice(start, n)
-        records = bulk_parse(part)
-        if records is not None:
-            yield start, n, records, [None] * n
-        elif n > SMALLEST:
+        if before[start + n] == before[start]:
+            yield start, n, records.slice(start, n), [None] * n
+        elif n > 1:
             todo += [(start + n // 2, n - n // 2), (start, n // 2)]
         else:
-            told = [diagnose(x) for x in part.to_pylist()]
-            yield start, n, pa.array([r for _, r in told], type=ARROW_RECORD), [reason for reason, _ in told]
+            reason, record = diagnose(lines[start].as_py())
+            yield start, 1, pa.array([record], type=ARROW_RECORD), [reason]
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -222,8 +239,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for start, n, records, reasons in parse_block(text):
-                yield pa.RecordBatch.from_arrays([ids.slice(start, n), pa.array(reasons, pa.string()), records], names=["line_id", "reason", "record"])
+            parts = list(parse_block(text))
+            if parts:
+                reasons = pa.array([x for *_, told in parts for x in told], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, reasons, pa.concat_arrays([r for _, _, r, _ in parts])], names=["line_id", "reason", "record"])
 
     schema = T.StructType([T.StructField("line_id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("record", record_type())])
     body = lines.filter(F.col("line_no").isNull() | (F.col("line_no") > 1)).select("line_id", F.col("raw_line").cast("string"))

@@ -4,11 +4,12 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ivlattice.operators import badrows, deliveries, knownat, regulargrid, spikes, trailing
+from ivlattice.operators import badrows, deliveries, knownat, regulargrid, sortedruns, spikes, trailing
 from ivlattice.operators.shardedtime import tiled
 
 
@@ -155,10 +156,11 @@ def change(i, value):
 def test_reasons(line, reason):
     assert badrows.diagnose(line)[0] == reason
     if line is not None:
-        bulk = badrows.bulk_parse(pa.array([line]))
-        assert reason is None or bulk is None
-        if reason is None and "e1" not in line:
-            assert bulk is not None
+        _, doubt = badrows.bulk_parse(pa.array([line]))
+        assert reason is None or doubt.all()
+        if reason is None:
+            plain = line.replace("+2", "2").replace(",.5", ",0.5").replace(",3.,", ",3,").replace('".5"', '"0.5"').replace('"3."', '"3"')
+            assert not badrows.bulk_parse(pa.array([plain]))[1].any()
 
 
 def test_bulk_equals_strict():
@@ -173,6 +175,17 @@ def test_bulk_equals_strict():
     assert [got[i] for i in range(len(lines))] == strict
 
 
+def test_only_doubtful_lines_are_left_to_the_strict_reader(monkeypatch):
+    plain = change(10, "2").replace(",.5", ",0.5").replace(",3.,", ",3,")
+    lines = [plain] * 500
+    for i in range(0, 500, 25):
+        lines[i] = plain + ","
+    seen = []
+    monkeypatch.setattr(badrows, "diagnose", lambda x, strict=badrows.diagnose: seen.append(x) or strict(x))
+    told = [r for *_, reasons in badrows.parse_block(pa.array(lines)) for r in reasons]
+    assert len(seen) == 20 and told == ["columns" if i % 25 == 0 else None for i in range(500)]
+
+
 def test_headers_are_left_out(spark):
     df = spark.createDataFrame([(1, 1, "exchange"), (2, 2, GOOD), (3, 3, "x"), (4, None, None)], "line_id long, line_no int, raw_line string")
     assert {(r.line_id, r.reason) for r in badrows.broken_lines(df).collect()} == {(3, "columns"), (4, "columns")}
@@ -220,6 +233,16 @@ def test_trailing_totals(spark):
         assert (r.avg3 is None) == (n3 == 0) and (n10 == 0 or abs(r.avg10 - s10 / n10) < 1e-9)
 
 
+def test_trailing_sums_are_exact_with_digits(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.randint(0, 50), rng.randint(1, 10**9) / 10**4) for _ in range(500)]
+    df = spark.createDataFrame(rows, "entity string, day long, value double").repartition(7)
+    got = {r.day: (r.sum5, r.avg5) for r in trailing.trailing_totals(df, (5,), tile=16, digits=4, most=20).collect()}
+    for day, (s, avg) in got.items():
+        own = [round(v * 10**4) for _, d, v in rows if day - 5 < d <= day]
+        assert s == sum(own) / 10**4 and avg == s / len(own)
+
+
 # ---- p7 ----
 
 
@@ -246,6 +269,40 @@ def test_regular_grid(spark, width):
     assert regulargrid.missing_slots(df.limit(0), width).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [2, 8])
+def test_frames_are_bounded_whatever_the_partitions(spark, partitions):
+    """Whole keys in frames of at most ``most`` rows and the rest of one key; a long key in parts where that is allowed."""
+    rows = [(i % 7 if i % 3 else 99, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        whole = sortedruns.in_runs(df, ["k"], lambda f: f.groupby("k").agg(n=("v", "size"), size=("v", lambda _: len(f))).reset_index(), "k long, n long, size long", most=200).collect()
+        assert {r.k: r.n for r in whole} == {k: sum(x == k for x, _ in rows) for k in (*range(7), 99)} and len(whole) == 8
+        assert all(r["size"] < 200 + 286 for r in whole if r.k != 99)
+
+        def cut(batches):
+            for f, goes_on in sortedruns.cut_frames(batches, 200):
+                yield pd.DataFrame({"n": [len(f)], "last": [f["k"].iloc[-1]], "goes_on": [goes_on]})
+
+        parts = sortedruns.placed(df, ["k"], ["v"]).mapInPandas(cut, "n long, last long, goes_on boolean").collect()
+        assert sum(r.n for r in parts) == 3000 and max(r.n for r in parts) == 200 and any(r.goes_on and r["last"] == 99 for r in parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_known_at_over_cut_frames(spark):
+    """An entity's day longer than a frame goes on with its best version."""
+    rng = random.Random(16)
+    events = [(i, "a" if i % 4 else "b", rng.randint(0, 500)) for i in range(400)]
+    changes = [("a" if i % 3 else "b", rng.randint(0, 500), rng.randint(0, 60), i) for i in range(120)]
+    e = spark.createDataFrame(events, "event_id long, entity string, at long")
+    c = spark.createDataFrame(changes, "entity string, known long, valid long, seq long")
+    want = {i: max(seen)[1] for i, x, t in events if (seen := [(v, s) for y, k, v, s in changes if x == y and k <= t])}
+    for most in (1, 7, 50):
+        assert {r.event_id: r.known_seq for r in knownat.known_at(e, c, 300, most).collect()} == want
+
+
 def test_day_of_symbol():
     assert badrows.symbol_parts("BTC-29FEB24-1-C")[0] == dt.date(2024, 2, 29)
     assert badrows.symbol_parts("BTC-29FEB23-1-C") is None
