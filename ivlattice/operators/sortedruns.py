@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +47,40 @@ def whole_keys(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
-def cut_frames(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """As ``whole_keys``, but a key longer than ``most`` comes in parts: (frame, whether its last key goes on)."""
-    held: list[pd.DataFrame] = []
+Part = pd.DataFrame | pa.Table
+
+
+def _part(b: pd.DataFrame | pa.RecordBatch, start: int, end: int) -> pd.DataFrame | pa.RecordBatch:
+    return b.iloc[start:end] if isinstance(b, pd.DataFrame) else b.slice(start, end - start)
+
+
+def _joined(parts: list) -> Part:
+    return pd.concat(parts, ignore_index=True) if isinstance(parts[0], pd.DataFrame) else pa.Table.from_batches(parts)
+
+
+def _key(b: Part | pa.RecordBatch, i: int) -> int:
+    return b[KEY].iloc[i] if isinstance(b, pd.DataFrame) else b.column(KEY)[i].as_py()
+
+
+def cut_frames(batches: Iterator, most: int) -> Iterator[tuple[Part, bool]]:
+    """As ``whole_keys``, but a key longer than ``most`` comes in parts: (frame, whether its last key goes on).
+
+    Batches are pandas frames or Arrow record batches; frames are pandas frames or Arrow tables.
+    """
+    held: list = []
     n = 0
     for b in batches:
         at = 0
         while n + len(b) - at > most:
-            held.append(b.iloc[at : at + most - n])
+            held.append(_part(b, at, at + most - n))
             at += most - n
-            frame = pd.concat(held, ignore_index=True)
-            yield frame, bool(frame[KEY].iloc[-1] == b[KEY].iloc[at])
+            # at least one row was just added, so the last part isn't empty
+            yield _joined(held), _key(held[-1], len(held[-1]) - 1) == _key(b, at)
             held, n = [], 0
-        held.append(b.iloc[at:])
+        held.append(_part(b, at, len(b)))
         n += len(b) - at
     if n:
-        yield pd.concat(held, ignore_index=True), False
+        yield _joined(held), False
 
 
 def placed(df: DataFrame, keys: list[str], then: list[str] | None = None) -> DataFrame:
