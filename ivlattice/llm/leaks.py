@@ -3,13 +3,18 @@
 Texts become sequences of word hashes. A spaced seed hashes the words at fixed
 places of a mask's span and ignores the others, so a hit survives substitutions at
 ignored places. Every exact run of SPAN words is hit by every mask at its first
-word, so none of them is missed. Seeds of the training texts that no evaluation
-text has are dropped where they arise, by a filter of fixed size; the rest are
-joined with the evaluation seeds, and each hit is verified word by word on its
-diagonal: exactly, or with a number of substitutions allowed.
-
-Defined results: null and empty texts have no words and leak nothing, nor do rows without an id; an item of
-fewer than SPAN words cannot be found; repeated texts are reported under each id.
+word, so none of them is missed.
+
+Training seeds that no evaluation text has are dropped where they arise, by a filter
+sized by the number of evaluation seeds. What is left of a text are a few clusters:
+seeds near each other, with the words around them. Seeds alone go through the join
+of hashes; equal seeds at equal steps are one row, so repeated words make no rows of
+their own. The words are fetched once for each pair of a cluster and an item, which
+is verified on every diagonal that has a hit: exactly, and with substitutions.
+
+Defined results: null and empty texts have no words and leak nothing, nor do rows
+without an id; an item of fewer than SPAN words cannot be found; repeated texts are
+reported under each id.
 """
 
 from __future__ import annotations
@@ -19,26 +24,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ivlattice.llm.rolling import scramble
-from ivlattice.session import shards, spread
+from ivlattice.llm.rolling import run_pairs, runs, scramble
+from ivlattice.operators.sortedruns import in_runs
+from ivlattice.session import durable, spread
 
 #: Words are maximal runs of Unicode letters and digits of the lower-cased text.
 WORD = r"[\p{L}\p{N}]+"
 SPAN = 12
 #: Places of a window that count; the others may be substituted.
 MASKS = ((0, 1, 3, 4, 6, 7, 9, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11))
-#: Words of context on either side of a hit that verification may use; enough to reach from the
-#: last hit of a stretch with two substitutions to its end, as every exact run of SPAN words is a hit.
-CONTEXT = 36
-#: Bits of the filter sent to every task (1 MB), whatever the number of evaluation texts.
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each evaluation seed, of which PROBES are set; 2 in 10,000 other seeds pass it.
+BITS_A_SEED, PROBES = 32, 4
+#: The filter is sent to every task and never larger than this: 16 million seeds. Beyond, it lets
+#: more seeds through and the join alone decides; the result is the same.
+MOST_FILTER_BYTES = 64 << 20
+BLOCK_BYTES = 1 << 16
+#: Ways in which the training seeds of one hash are spread in the join.
+SALT = 8
 MOST_REMEMBERED = 500_000
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(SPAN)]
@@ -74,71 +82,107 @@ def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
     return scramble(acc)
 
 
-def _context(words: np.ndarray, at: int, context: int) -> tuple[int, np.ndarray]:
-    """(place of the hit in it, words) around a hit."""
-    lo = max(0, at - context)
-    return at - lo, words[lo : at + SPAN + context]
+CLUSTERS = "id long, lo int, words array<long>, hits array<struct<mask:int,seed:long,at:int,step:int,n:int>>"
+_HIT = pa.struct([("mask", pa.int32()), ("seed", pa.int64()), ("at", pa.int32()), ("step", pa.int32()), ("n", pa.int32())])
+
+
+def _places(seed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's places of each seed, one array for each probe."""
+    low, high = seed & np.uint64(0xFFFFFFFF), (seed >> np.uint64(32)) | np.uint64(1)
+    for j in range(PROBES):
+        yield (low + np.uint64(j) * high) & np.uint64(bits - 1)
 
 
-SEEDS = "id long, mask int, seed long, place int, words array<long>, at int"
+def _pass(keep: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Indices of the seeds that the filter lets through."""
+    at = np.arange(len(seed))
+    for j in range(PROBES):
+        place = list(_places(seed[at], 8 * len(keep)))[j]
+        at = at[(keep[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    return at
 
 
-def _seeds(texts: DataFrame, id_column: str, shared: Broadcast | None, context: int) -> DataFrame:
-    """All seeds of the texts, or those whose bit is set in the broadcast filter."""
+def _clusters(texts: DataFrame, id_column: str, reach: int, shared: Broadcast | None) -> DataFrame:
+    """Seeds that pass the filter (all without one), in clusters less than 2 * ``reach`` apart.
+
+    ``words`` of a cluster stand from ``lo`` on, ``reach`` words before its first seed
+    to ``reach`` words after its last; places of hits count from there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Words()
         keep = shared.value if shared is not None else None
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, mask_of, seed_of, place, around, where = [], [], [], [], [], []
-                kept, lengths = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    found = reader.hashes(text.as_py())
-                    if len(found) >= SPAN:
-                        kept.append((doc, np.array(found, np.uint64)))
-                        lengths.append(len(found))
+                kept = [(doc, found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) if len(found := reader.hashes(text.as_py())) >= SPAN]
                 if not kept:
                     continue
                 # one pass over the words of the whole batch; windows across two texts are left out
-                words = np.concatenate([w for _, w in kept])
-                ends = np.cumsum(lengths)
-                of = np.repeat(np.arange(len(kept)), lengths)
-                for mask in range(len(MASKS)):
-                    s = seed_hashes(words, mask)
-                    good = np.arange(len(s)) + SPAN <= ends[of[: len(s)]]
-                    if keep is not None:
-                        good &= np.bitwise_and(keep[(s >> np.uint64(3)) & np.uint64(FILTER_BITS // 8 - 1)], (1 << (s & np.uint64(7))).astype(np.uint8)) > 0
-                    for i in np.flatnonzero(good).tolist():
-                        doc, own = kept[of[i]]
-                        at = i - (int(ends[of[i]]) - len(own))
-                        p, c = _context(own, at, context)
-                        ids.append(doc), mask_of.append(mask), seed_of.append(int(s[i].view(np.int64)))
-                        place.append(p), around.append(c.view(np.int64)), where.append(at)
+                words = np.concatenate([np.array(w, np.uint64) for _, w in kept])
+                ends = np.cumsum([len(w) for _, w in kept])
+                of = np.repeat(np.arange(len(kept)), [len(w) for _, w in kept])
+                mask, seed, at = [], [], []
+                for m in range(len(MASKS)):
+                    s = seed_hashes(words, m)
+                    good = np.flatnonzero(np.arange(len(s)) + SPAN <= ends[of[: len(s)]])
+                    good = good if keep is None else good[_pass(keep, s[good])]
+                    mask.append(np.full(len(good), m)), seed.append(s[good]), at.append(good)
+                mask, seed, at = np.concatenate(mask), np.concatenate(seed), np.concatenate(at)
+                if not len(at):
+                    continue
+                place = np.unique(at)
+                new = np.r_[True, (np.diff(place) >= SPAN + 2 * reach) | (of[place[1:]] != of[place[:-1]])]
+                first, last = place[new], place[np.r_[np.flatnonzero(new)[1:], len(place)] - 1]
+                text = of[first]
+                start = np.r_[0, ends[:-1]][text]
+                lo, hi = np.maximum(first - reach, start), np.minimum(last + SPAN + reach, ends[text])
+                cluster = np.searchsorted(first, at, side="right") - 1
+                order = np.lexsort((at, seed, mask, cluster))
+                cluster, mask, seed, at = cluster[order], mask[order], seed[order], at[order]
+                one, step, n = runs(cluster * len(MASKS) + mask, seed, at)
+                hits = [mask[one], seed[one].view(np.int64), at[one] - lo[cluster[one]], step, n]
+                hits = pa.StructArray.from_arrays([pa.array(x.astype(t.type.to_pandas_dtype())) for x, t in zip(hits, _HIT)], fields=list(_HIT))
+                many = np.r_[0, np.cumsum(np.bincount(cluster[one], minlength=len(first)))]
+                size = np.r_[0, np.cumsum(hi - lo)]
+                flat = np.concatenate([words[a:b] for a, b in zip(lo.tolist(), hi.tolist())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(mask_of, pa.int32()), pa.array(seed_of, pa.int64()), pa.array(place, pa.int32()), pa.array(around, pa.list_(pa.int64())), pa.array(where, pa.int32())],
-                    names=["id", "mask", "seed", "place", "words", "at"],
+                    [
+                        pa.array([kept[i][0] for i in text.tolist()], pa.int64()),
+                        pa.array((lo - start).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.array(flat.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), hits),
+                    ],
+                    names=["id", "lo", "words", "hits"],
                 )
 
     rows = texts.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return (spread(rows) if shared is not None else rows).mapInArrow(run, SEEDS)
+    return (spread(rows) if shared is not None else rows).mapInArrow(run, CLUSTERS)
 
 
-def _filter(items: DataFrame) -> np.ndarray:
-    """Bits of the evaluation seeds; partial filters are or-ed as they are made, each of fixed size."""
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """Bits of the evaluation seeds, built in blocks by the tasks and put together here: MOST_FILTER_BYTES at most."""
+    n = seeds.count()
+    bits = min(8 * MOST_FILTER_BYTES, 1 << max(20, (BITS_A_SEED * n - 1).bit_length()))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for pdf in batches:
-            s = pdf["seed"].to_numpy(np.int64).view(np.uint64)
-            np.bitwise_or.at(bits, ((s >> np.uint64(3)) & np.uint64(FILTER_BITS // 8 - 1)).astype(np.int64), (1 << (s & np.uint64(7))).astype(np.uint8))
-        used = np.flatnonzero(bits)
-        yield pd.DataFrame({"byte": used.astype(np.int64), "bits": bits[used].astype(np.int64)})
+        own = np.zeros(bits // 8, np.uint8)
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                for place in _places(pdf["seed"].to_numpy(np.int64).view(np.uint64), bits):
+                    np.bitwise_or.at(own, (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        blocks = own.reshape(-1, BLOCK_BYTES)
+        used = np.flatnonzero(blocks.any(1))
+        yield pd.DataFrame({"block": used, "content": [blocks[i].tobytes() for i in used]})
 
-    rows = _seeds(items, "item_id", None, 0).select("seed").mapInPandas(part, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    out[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
-    return out
+    def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = pdf.groupby("block")["content"]
+        return of.agg(lambda parts: np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()).reset_index()
+
+    schema = "block long, content binary"
+    out = np.zeros((bits // 8 // BLOCK_BYTES, BLOCK_BYTES), np.uint8)
+    for row in in_runs(seeds.mapInPandas(part, schema), ["block"], put_together, schema, most=64).toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["content"], np.uint8)
+    return out.ravel()
 
 
 def verify(doc: np.ndarray, p: int, item: np.ndarray, q: int, substitutions: int) -> tuple[int, int]:
@@ -161,14 +205,6 @@ def verify(doc: np.ndarray, p: int, item: np.ndarray, q: int, substitutions: int
     return exact, tolerant
 
 
-def _hits(docs: DataFrame, items: DataFrame, context: int) -> DataFrame:
-    """doc_id, item_id, places of a hit in both texts, and the words around it with the hit's place among them."""
-    keep = docs.sparkSession.sparkContext.broadcast(_filter(items))
-    d = _seeds(docs, "doc_id", keep, context).selectExpr("id doc_id", "mask", "seed", "at", "place p", "words dw")
-    e = _seeds(items, "item_id", None, context).selectExpr("id item_id", "mask", "seed", "at item_at", "place q", "words ew")
-    return d.join(e, ["mask", "seed"]).select("doc_id", "item_id", "p", "dw", "q", "ew", "at", "item_at")
-
-
 def stretches(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, miss: np.ndarray, substitutions: int) -> tuple[int, int]:
     """As ``verify``, over all pieces [lo, hi) of one diagonal with hits at ``at`` and differing words at ``miss``."""
     order = np.argsort(lo, kind="stable")
@@ -187,53 +223,61 @@ def stretches(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, miss: np.ndarray,
     return exact, tolerant
 
 
+def _pair(doc: np.ndarray, item: np.ndarray, hits: list[np.ndarray], substitutions: int) -> tuple[int, int]:
+    """Longest exact and near stretch of a cluster and an item over all diagonals with a hit."""
+    if all((hits[j] == 1).all() for j in (2, 5)):
+        start, end, shift = hits[0], hits[0] + SPAN, hits[3] - hits[0]
+    else:
+        h = np.array([x for six in zip(*(c.tolist() for c in hits)) for x in run_pairs(*six, SPAN)], np.int64)
+        start, end, shift = h[:, 0], h[:, 1], h[:, 2] - h[:, 0]
+    exact = near = 0
+    for d in np.unique(shift).tolist():
+        own = shift == d
+        a, b = max(0, -d), min(len(doc), len(item) - d)
+        miss = np.flatnonzero(doc[a:b] != item[a + d : b + d]) + a
+        # a stretch that touches a run of hits touches one of them
+        at = np.concatenate([np.r_[np.arange(s, e - SPAN, SPAN), e - SPAN] for s, e in zip(start[own].tolist(), end[own].tolist())])
+        x, y = stretches(np.array([a]), np.array([b]), at, miss, substitutions)
+        exact, near = max(exact, x), max(near, y)
+    return exact, near
+
+
 def overlaps(docs: DataFrame, items: DataFrame, substitutions: int = 2) -> DataFrame:
     """doc_id, item_id, exact_words, near_words of every pair with a hit.
 
     ``exact_words``: the longest run of equal words through a hit; ``near_words``:
-    the longest stretch with at most ``substitutions`` differing words. The pieces
-    around the hits of a diagonal are merged, so neither has a bound.
+    the longest stretch with at most ``substitutions`` differing words. Neither has a
+    bound: between two hits of a diagonal all words are compared, and beyond the
+    last one a stretch ends within SPAN * (substitutions + 1) words, as every exact
+    run of SPAN words is a hit.
     """
-    hits = _hits(docs, items, max(CONTEXT, SPAN * (substitutions + 1)))
+    reach = SPAN * (substitutions + 1)
+    e = durable(_clusters(items, "item_id", reach, None))
+    item_hits = e.select(F.col("id").alias("item_id"), F.col("lo").alias("item_lo"), F.inline("hits")).withColumnsRenamed({"at": "at2", "step": "step2", "n": "n2"})
+    keep = docs.sparkSession.sparkContext.broadcast(_filter(item_hits.select("seed").distinct()))
+    d = durable(_clusters(docs, "doc_id", reach, keep))
+    # one seed may stand in a third of all texts: its rows are dealt to SALT places, the fewer of the items copied to each
+    salt = F.pmod(F.xxhash64("id", "lo"), F.lit(SALT)).cast("int")
+    doc_hits = d.select(F.col("id").alias("doc_id"), "lo", salt.alias("salt"), F.inline("hits"))
+    salted = item_hits.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    key = ["doc_id", "lo", "item_id", "item_lo"]
+    hits = doc_hits.join(salted, ["mask", "seed", "salt"]).groupBy(*key).agg(F.collect_set(F.struct("at", "step", "n", "at2", "step2", "n2")).alias("hits"))
+    pairs = hits.join(d.select(F.col("id").alias("doc_id"), "lo", F.col("words").alias("dw")), ["doc_id", "lo"])
+    pairs = pairs.join(e.select(F.col("id").alias("item_id"), F.col("lo").alias("item_lo"), F.col("words").alias("ew")), ["item_id", "item_lo"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, item, p, dw, q, ew, at, item_at = batch.columns
-            lo, hi, miss = [], [], []
-            for a, i, b, j, x in zip(dw, p.to_pylist(), ew, q.to_pylist(), at.to_pylist()):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                before, after = min(i, j), min(len(a) - i, len(b) - j)
-                lo.append(x - before), hi.append(x + after)
-                miss.append(np.flatnonzero(a[i - before : i + after] != b[j - before : j + after]) + x - before)
-            yield pa.RecordBatch.from_arrays(
-                [doc, item, pc.subtract(at, item_at), at, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(miss, pa.list_(pa.int32()))],
-                names=["doc_id", "item_id", "diagonal", "at", "lo", "hi", "miss"],
-            )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (doc, item), pair in pdf.groupby(["doc_id", "item_id"], sort=False):
-            exact = near = 0
-            for _, g in pair.groupby("diagonal", sort=False):
-                of = [g[c].to_numpy(np.int64) for c in ("lo", "hi", "at")]
-                x, y = stretches(*of, np.concatenate(g["miss"].tolist()).astype(np.int64), substitutions)
-                exact, near = max(exact, x), max(near, y)
-            rows.append((doc, item, exact, near))
-        return pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "near_words"])
-
-    found = hits.mapInArrow(pieces, "doc_id long, item_id long, diagonal int, at int, lo int, hi int, miss array<int>")
-    shard = F.pmod(F.xxhash64("doc_id", "item_id"), F.lit(2 * shards(docs.sparkSession))).alias("shard")
-    return found.groupBy(shard).applyInPandas(merge, "doc_id long, item_id long, exact_words int, near_words int")
+            doc, item, six, dw, ew = batch.columns
+            told = []
+            for a, b, h in zip(dw, ew, six):
+                columns = [c.to_numpy().astype(np.int64) for c in h.values.flatten()]
+                told.append(_pair(a.values.to_numpy(), b.values.to_numpy(), columns, substitutions))
+            yield pa.RecordBatch.from_arrays([doc, item, *(pa.array([t[i] for t in told], pa.int32()) for i in (0, 1))], names=["doc_id", "item_id", "exact_words", "near_words"])
+
+    checked = pairs.select("doc_id", "item_id", "hits", "dw", "ew").mapInArrow(check, "doc_id long, item_id long, exact_words int, near_words int")
+    return checked.groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("near_words").alias("near_words"))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id where the document holds at least SPAN consecutive words of the item."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, item, p, dw, q, ew = batch.columns
-            exact = [verify(a.values.to_numpy(), i, b.values.to_numpy(), j, 0)[0] for a, i, b, j in zip(dw, p.to_pylist(), ew, q.to_pylist())]
-            yield pa.RecordBatch.from_arrays([doc, item, pa.array(exact, pa.int32())], names=["doc_id", "item_id", "exact_words"])
-
-    checked = _hits(docs, items, CONTEXT).drop("at", "item_at").mapInArrow(check, "doc_id long, item_id long, exact_words int")
-    return checked.filter(F.col("exact_words") >= SPAN).select("doc_id", "item_id").distinct()
+    return overlaps(docs, items).filter(F.col("exact_words") >= SPAN).select("doc_id", "item_id")

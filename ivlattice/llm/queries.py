@@ -28,6 +28,11 @@ def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_exact_words(spark: SparkSession, d: str) -> DataFrame:
+    """The longest exact run of each leaked pair, all places of both texts considered."""
+    return p9_overlaps(spark, d).filter(F.col("exact_words") >= leaks.SPAN).select("doc_id", "item_id", F.col("exact_words").cast("long").alias("exact_words"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_spans(table(spark, d, "documents"))
 
@@ -36,9 +41,21 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_found, p9_overlaps, p10_found, p10_passages)}
+QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_found, p9_overlaps, p9_exact_words, p10_found, p10_passages)}
+
+_GRAMS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d)),
+eg AS (SELECT item_id, i AS j, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM e))
+"""
 
 SQL = {
+    "p9_exact_words": _GRAMS
+    + """, h AS (SELECT doc_id, item_id, i - j AS diagonal, i FROM dg JOIN eg USING (g)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS k FROM h),
+n AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, diagonal, k)
+SELECT doc_id, item_id, max(words) AS exact_words FROM n GROUP BY ALL""",
     "p6_found": """
 WITH t AS (SELECT ingest_seq, upper(trim(instrument)) AS i, epoch_us(ts) AS at FROM trades_options),
 q AS (SELECT quote_id, upper(trim(symbol)) AS i, timestamp AS at FROM tardis_sample)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
@@ -60,3 +62,32 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
+
+
+def runs(of: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First entry, step and number of places of each run of one seed at equal steps (periodic text).
+
+    Entries are looked at in their order; ``of`` tells records apart.
+    """
+    n = len(of)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = np.r_[False, (of[1:] == of[:-1]) & (seed[1:] == seed[:-1])]
+    step = np.where(same, np.diff(place, prepend=place[:1]), 0)
+    # an entry goes on with a run if it is the second of it or keeps its step
+    new = ~same | (np.r_[False, same[:-1]] & (step != np.r_[0, step[:-1]]))
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, n])
+    return first, np.where(count > 1, step[np.minimum(first + 1, n - 1)], 0), count
+
+
+def run_pairs(p: int, d: int, n: int, q: int, d2: int, n2: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, partner_start) of two runs of one seed of length k, one for each diagonal if their steps are equal."""
+    if n > 1 and n2 > 1 and d == d2 and d <= k:
+        for j in range(1 - n, n2):
+            at = max(0, -j)
+            yield p + at * d, p + (min(n, n2 - j) - 1) * d + k, q + (at + j) * d
+    else:
+        for x in range(p, p + n * max(d, 1), max(d, 1)):
+            for y in range(q, q + n2 * max(d2, 1), max(d2, 1)):
+                yield x, x + k, y

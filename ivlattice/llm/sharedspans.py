@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ivlattice.llm.rolling import code_points, prefix, sliding_min, window_hash
+from ivlattice.llm.rolling import code_points, prefix, run_pairs as _hits, runs as _runs, sliding_min, window_hash
 from ivlattice.session import durable, shards, spread
 
 BLOCK_CHARS = 1 << 20
@@ -295,20 +295,6 @@ def edit_distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
-def _runs(of: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First entry, step and number of places of each run of one seed at equal steps (periodic text)."""
-    n = len(of)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    same = np.r_[False, (of[1:] == of[:-1]) & (seed[1:] == seed[:-1])]
-    step = np.where(same, np.diff(place, prepend=place[:1]), 0)
-    # an entry goes on with a run if it is the second of it or keeps its step
-    new = ~same | (np.r_[False, same[:-1]] & (step != np.r_[0, step[:-1]]))
-    first = np.flatnonzero(new)
-    count = np.diff(np.r_[first, n])
-    return first, np.where(count > 1, step[np.minimum(first + 1, n - 1)], 0), count
-
-
 def places(docs: DataFrame, length: int, k: int) -> DataFrame:
     """doc_id, seed, again (a second hash), place, step, n: where the seeds stand."""
 
@@ -339,18 +325,6 @@ def _paired(found: DataFrame) -> DataFrame:
     return left.join(right, ["seed", "again", "i", "j"]).filter("doc_id < partner").drop("seed", "again", "i", "j")
 
 
-def _hits(p: int, d: int, n: int, q: int, d2: int, n2: int, k: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, partner_start) of two runs of one seed, one for each diagonal if their steps are equal."""
-    if n > 1 and n2 > 1 and d == d2 and d <= k:
-        for j in range(1 - n, n2):
-            at = max(0, -j)
-            yield p + at * d, p + (min(n, n2 - j) - 1) * d + k, q + (at + j) * d
-    else:
-        for x in range(p, p + n * max(d, 1), max(d, 1)):
-            for y in range(q, q + n2 * max(d2, 1), max(d2, 1)):
-                yield x, x + k, y
-
-
 RUNS = "doc_id long, partner long, s long, e long, ps long, pe long"
 
 

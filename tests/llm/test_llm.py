@@ -76,6 +76,19 @@ def test_nearest_in_time(spark):
     assert nearesttime.nearest_in_time(a, b.limit(0), 10, 50).count() == 0
 
 
+def test_nearest_in_time_over_cut_tables(spark):
+    """A bucket longer than an Arrow table goes on with what lies within reach of the cut."""
+    rng = random.Random(14)
+    left = [(i, "AB"[i % 5 == 0], rng.randint(0, 3000)) for i in range(500)]
+    right = [(i, "AB"[i % 3 == 0], rng.randint(0, 3000)) for i in range(300)]
+    a = spark.createDataFrame(left, "left_id long, entity string, at long")
+    b = spark.createDataFrame(right, "right_id long, entity string, at long")
+    want = nearest_brute(left, right, 10)
+    for most in (3, 40, 100_000):
+        got = nearesttime.nearest_in_time(a, b, 10, 2000, most).collect()
+        assert {r.left_id: r.right_id for r in got} == want and len(got) == len(want)
+
+
 def spans_brute(docs, length):
     where = {}
     for d, t in docs:
@@ -167,6 +180,54 @@ def test_leaks_tolerate_substitutions():
     assert leaks.verify(a, 8, b, 8, 1)[1] == 24
 
 
+def near_brute(doc, item, substitutions):
+    """Words of the longest stretch on any diagonal with so many differences at most."""
+    best = 0
+    for d in range(-len(item), len(doc)):
+        a, b = max(0, d), min(len(doc), len(item) + d)
+        miss = [a - 1, *[i for i in range(a, b) if doc[i] != item[i - d]], b]
+        best = max([best, *(miss[min(i + 1 + substitutions, len(miss) - 1)] - miss[i] - 1 for i in range(len(miss) - 1))])
+    return best
+
+
+def test_recall_of_passages_with_substitutions(spark):
+    """Of all passages of 20 words or more with one or two substitutions, by brute force, at least nine in ten are found whole."""
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randint(0, 2000)}"
+    items = [(i, [word() for _ in range(60)]) for i in range(40)]
+    docs, want = [], {}
+    for d in range(300):
+        i, t = rng.choice(items)
+        n = rng.randint(20, 45)
+        piece = t[(a := rng.randint(0, 60 - n)) : a + n]
+        for k in rng.sample(range(n), rng.randint(1, 2)):
+            piece[k] = f"z{rng.randint(0, 10**6)}"
+        docs.append((d, [word() for _ in range(20)] + piece + [word() for _ in range(20)]))
+        want[(d, i)] = near_brute(docs[-1][1], t, 2)
+    rows = lambda x: [(i, " ".join(w)) for i, w in x]
+    found = leaks.overlaps(spark.createDataFrame(rows(docs), "doc_id long, text string"), spark.createDataFrame(rows(items), "item_id long, text string")).collect()
+    right = sum(want.get((r.doc_id, r.item_id)) == r.near_words for r in found)
+    assert min(want.values()) >= 20 and right >= 0.9 * len(want) and right >= 0.95 * len(found)
+
+
+def test_repeated_words_make_few_rows(spark):
+    docs = [(1, " ".join(["ha"] * 2000)), (2, " ".join(["ha", "ho"] * 500 + ["x"] + ["ha", "ho"] * 300))]
+    items = [(1, " ".join(["ha"] * 60)), (2, " ".join(["ho", "ha"] * 40))]
+    seeds = leaks._clusters(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", 36, None).selectExpr("id", "size(hits) n").collect()
+    assert sum(r.n for r in seeds) < 60
+    got = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 60, 60), (2, 2, 80, 80)]
+
+
+def test_filter_lets_all_evaluation_seeds_through(spark):
+    seeds = spark.range(40_000).selectExpr("xxhash64(id) seed")
+    own = np.array([r.seed for r in seeds.collect()], np.int64).view(np.uint64)
+    other = np.array([r.seed for r in spark.range(10**6, 10**6 + 100_000).selectExpr("xxhash64(id) seed").collect()], np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        keep = leaks._filter(seeds)
+        assert len(leaks._pass(keep, own)) == 40_000 and len(leaks._pass(keep, other)) < 100
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
