@@ -59,7 +59,7 @@ def _joined(parts: list) -> Part:
 
 
 def _key(b: Part | pa.RecordBatch, i: int) -> int:
-    return b[KEY].iloc[i] if isinstance(b, pd.DataFrame) else b.column(KEY)[i].as_py()
+    return int(b[KEY].iloc[i]) if isinstance(b, pd.DataFrame) else b.column(KEY)[i].as_py()
 
 
 def cut_frames(batches: Iterator, most: int) -> Iterator[tuple[Part, bool]]:
@@ -74,8 +74,8 @@ def cut_frames(batches: Iterator, most: int) -> Iterator[tuple[Part, bool]]:
         while n + len(b) - at > most:
             held.append(_part(b, at, at + most - n))
             at += most - n
-            # at least one row was just added, so the last part isn't empty
-            yield _joined(held), _key(held[-1], len(held[-1]) - 1) == _key(b, at)
+            frame = _joined(held)
+            yield frame, _key(frame, len(frame) - 1) == _key(b, at)
             held, n = [], 0
         held.append(_part(b, at, len(b)))
         n += len(b) - at

@@ -291,6 +291,20 @@ def test_frames_are_bounded_whatever_the_partitions(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_cuts_at_the_edges_of_batches():
+    key = [1] * 6 + [2] * 2
+    for size in range(1, 9):
+        for most in range(1, 9):
+            rows = pd.DataFrame({sortedruns.KEY: key, "v": range(8)})
+            parts = [rows.iloc[i : i + size] for i in range(0, 8, size)]
+            for batches in (parts, [pa.RecordBatch.from_pandas(p, preserve_index=False) for p in parts]):
+                got = [(list(f["v"].to_numpy()), goes_on) for f, goes_on in sortedruns.cut_frames(iter(batches), most)]
+                assert [v for f, _ in got for v in f] == list(range(8)) and all(len(f) == most for f, _ in got[:-1])
+                assert [g for _, g in got] == [f[-1] not in (5, 7) for f, _ in got]
+            whole = [list(f["v"]) for f in sortedruns.whole_keys(iter(parts), most)]
+            assert whole == [list(range(6)), [6, 7]] if most <= 6 else whole == [list(range(8))]
+
+
 def test_known_at_over_cut_frames(spark):
     """An entity's day longer than a frame goes on with its best version."""
     rng = random.Random(16)
