@@ -55,6 +55,13 @@ class Contract:
         row = self.shaped(df).agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(checks.values())]).first()
         return {name: row[f"c{i}"] for i, name in enumerate(checks) if row[f"c{i}"]}
 
+    def breach_counts(self, df: DataFrame) -> DataFrame:
+        """rule, n: as ``breaches``, for a check that is itself a table. A loose contract's rules may use other columns of ``df``."""
+        checks = self.checks()
+        one = self.shaped(df).agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(checks.values())])
+        pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"c{i}").alias("n")) for i, name in enumerate(checks)])
+        return one.select(F.inline(pairs)).filter("n > 0")
+
     def validate(self, df: DataFrame) -> DataFrame:
         broken = self.breaches(df)
         if broken:

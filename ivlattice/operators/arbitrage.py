@@ -43,8 +43,10 @@ def butterfly_breaches(grid: DataFrame, snap: list[str], k: str = "k", tau: str
     return g.groupBy(*snap).agg(
         F.count_if("__bad").alias("unusable"),
         F.count_if(is_fly).alias("butterfly"),
+        F.coalesce(F.max(F.when(is_fly, -F.col("__ds"))), F.lit(0.0)).alias("butterfly_max"),
         total(is_fly, -F.col("__ds")).alias("butterfly_sum"),
         F.count_if(is_vertical).alias("vertical"),
+        F.coalesce(F.max(F.when(is_vertical, vertical)), F.lit(0.0)).alias("vertical_max"),
         total(is_vertical, vertical).alias("vertical_sum"),
     )
 

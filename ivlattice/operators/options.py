@@ -100,7 +100,7 @@ def parity_pairs(obs: DataFrame, cell: list[str], gap_s: float = 60.0) -> DataFr
     )
 
 
-def forwards(obs: DataFrame, futures: DataFrame, funding: DataFrame, min_pairs: int = 1) -> DataFrame:
+def forwards(obs: DataFrame, futures: DataFrame, funding: DataFrame, min_pairs: int = 1, gap_s: float = 60.0) -> DataFrame:
     """One forward per (snap_date, currency, expiry) by the first of three methods that gives one.
 
     Parity of enough pairs, else the last future of that expiry at or before the
@@ -108,7 +108,7 @@ def forwards(obs: DataFrame, futures: DataFrame, funding: DataFrame, min_pairs:
     Returns forward, fwd_method and n_pairs (0 unless parity was used).
     """
     cell = ["snap_date", "currency", "expiry"]
-    pcp = parity_pairs(obs, cell)
+    pcp = parity_pairs(obs, cell, gap_s)
     cells = obs.groupBy(*cell).agg(
         F.median("tau").alias("tau"),
         F.median(if_finite("index_price")).alias("index"),
@@ -201,3 +201,8 @@ def compare_buckets(a: DataFrame, b: DataFrame, keys: list[str], tolerance: floa
     y = b.withColumnsRenamed({"iv": "iv_b", "n": "n_b"})
     diff = F.abs(F.col("iv_a") - F.col("iv_b"))
     return x.join(y, keys).withColumns({"diff": diff, "within": diff <= tolerance})
+
+
+def comparison_summary(buckets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per ``keys`` (over all without): buckets compared, passed (all within tolerance) and max_abs_diff."""
+    return buckets.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n_buckets"), F.coalesce(F.bool_and("within"), F.lit(True)).alias("passed"), F.coalesce(F.max("diff"), F.lit(0.0)).alias("max_abs_diff"))

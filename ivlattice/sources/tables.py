@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ivlattice.contracts import Contract
+from ivlattice.contracts import SPLIT_MANIFEST, Contract
 from ivlattice.functions.numeric import finite
 from ivlattice.operators.badrows import record_type
+from ivlattice.session import remove
 
 
 def scan(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
@@ -24,10 +25,24 @@ def scan(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], contract.schema)
+    return known_columns(df, contract)
+
+
+def known_columns(df: DataFrame, contract: Contract) -> DataFrame:
+    """``df`` in the contract's shape, without columns that a strict contract does not know."""
     known = {f.name for f in contract.schema}
     return contract.shaped(df.select(*[c for c in df.columns if c in known])) if contract.strict else contract.shaped(df)
 
 
+def partition_days(spark: SparkSession, path: str, day: str = "snap_date") -> DataFrame:
+    """The days (one column) that a table has folders for; other names are skipped. The driver lists names only."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [x.getPath().getName() for x in found if x.isDirectory()]
+    texts = spark.createDataFrame([(n.removeprefix(f"{day}="),) for n in names if n.startswith(f"{day}=")], "name string")
+    return texts.select(F.col("name").try_cast("date").alias(day)).filter(F.col(day).isNotNull())
+
+
 def between(df: DataFrame, ts: str, start: str, end: str, partition: str | None = None) -> DataFrame:
     """Rows with ts in [start, end]; with ``partition`` (a yyyy-MM month column) whole months are pruned first."""
     out = df.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
@@ -104,6 +119,34 @@ def write_days(df: DataFrame, path: str, day: str = "snap_date", sort: list[str]
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(day).parquet(path)
 
 
+def replace_days(df: DataFrame, path: str, days: DataFrame, day: str = "snap_date") -> None:
+    """Writes ``df`` in place of the given days: one that has no rows any more loses its folder.
+
+    Days outside ``days`` stay untouched; the driver handles day names only.
+    """
+    write_days(df, path, day)
+    empty = days.select(day).distinct().join(df.select(day).distinct(), day, "left_anti")
+    for row in empty.toLocalIterator():
+        remove(df.sparkSession, f"{path}/{day}={row[0]}")
+
+
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Adds snapshots as JSON lines, in the folder of their UTC day."""
+    day = F.substring("snap_ts", 1, 10).alias("day")
+    snapshots.select("*", day).write.mode("append").partitionBy("day").json(path)
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """Replaces a split manifest by one that keeps its contract; a breach leaves the old one as it is."""
+    SPLIT_MANIFEST.validate(rows).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def to_fetch(candidates: DataFrame, done: DataFrame, unit: str) -> DataFrame:
+    """Units of work that are not done, and the last that is, as it may have been cut short."""
+    again = done.agg(F.max(unit).alias(unit)).join(candidates, unit, "left_semi")
+    return unseen(candidates, done, [unit]).select(unit).unionByName(again).distinct()
+
+
 def unseen(candidates: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Units of work that a manifest table does not list yet."""
     return candidates.join(done.select(*keys).distinct(), keys, "left_anti")
