@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folds(dates: DataFrame, day: str = "day", fit_months: int = 16, val_months: int = 2, test_months: int = 2, step_months: int = 2, tune_folds: int = 2) -> DataFrame:
@@ -55,6 +56,48 @@ def lookback(rows: DataFrame, keys: list[str], day: str, features: list[str], le
     return out.withColumn("mask", F.transform("inputs", lambda x: x["complete"]))
 
 
+def scalar_features(schema: T.StructType, left_out: set[str]) -> list[str]:
+    """Numeric and boolean columns in order, without those named and without times of sources."""
+    kinds = (T.NumericType, T.BooleanType)
+    return [f.name for f in schema if isinstance(f.dataType, kinds) and f.name not in left_out and not f.name.endswith("_source_ts")]
+
+
+def window_breaches(windows: DataFrame, day: str, length: int, horizon: int) -> DataFrame:
+    """rule, n: how many look-back windows break each invariant, those that none breaks left out.
+
+    ``windows`` as ``lookback`` gives them: as many inputs and mask entries as
+    ``length``, on consecutive days, the last ``horizon`` days before the target.
+    """
+    at = lambda i: F.unix_date(F.get("inputs", i)[day])
+    rules = {
+        "input count": F.size("inputs") != length,
+        "mask length": F.size("mask") != F.size("inputs"),
+        "consecutive days": F.exists(F.sequence(F.lit(1), F.lit(max(1, length - 1))), lambda i: at(i) - at(i - 1) != 1) if length > 1 else F.lit(False),
+        "last input": at(F.lit(length - 1)) != F.unix_date(day) - horizon,
+    }
+    one = windows.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(f"c{i}") for i, c in enumerate(rules.values())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"c{i}").alias("n")) for i, r in enumerate(rules)]))).filter("n > 0")
+
+
+def fold_breaches(fold_table: DataFrame) -> DataFrame:
+    """rule, n: folds whose ranges don't follow each other, or don't grow from one fold to the next."""
+    w = Window.orderBy("fold_id")
+    f = fold_table.withColumns({"__end": F.lag("train_end").over(w), "__start": F.lag("train_start").over(w)})
+    rules = {
+        "order of ranges": ~((F.col("train_start") < F.col("train_end")) & (F.col("train_end") < F.col("validation_end")) & (F.col("validation_end") < F.col("test_end"))),
+        "growing training": F.col("__end") >= F.col("train_end"),
+        "one start": F.col("__start") != F.col("train_start"),
+    }
+    one = f.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rules.values())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"c{i}").alias("n")) for i, r in enumerate(rules)]))).filter("n > 0")
+
+
+def fit_range_inside(fold_table: DataFrame, start: str, end: str) -> DataFrame:
+    """fold_id, inside: whether components fitted on [start, end) saw nothing but the fold's training days."""
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return fold_table.select("fold_id", ((F.col("train_start") <= a) & (a < b) & (b <= F.col("train_end"))).alias("inside"))
+
+
 def leaks(rows: DataFrame, snap: str, source_columns: list[str]) -> DataFrame:
     """Number of rows per source whose time lies after the snapshot."""
     return rows.agg(*[F.count_if(F.col(c) > F.col(snap)).alias(c) for c in source_columns])

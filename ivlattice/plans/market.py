@@ -64,6 +64,28 @@ def realized_volatility(spark: SparkSession, d: str) -> DataFrame:
     return r.select("instrument", F.col("day").cast("string").alias("day"), *[F.round(c, 9).alias(c) for c in cols], "jump_flag")
 
 
+@query(_BARS.replace("HAVING count(*) >= 6", "HAVING count(*) = 24") + "SELECT instrument, strftime(DATE '1970-01-01' + day, '%Y-%m-%d') AS day, open, high, low, close FROM bars")
+def daily_bars_full(spark: SparkSession, d: str) -> DataFrame:
+    """Days with every bar that fits in, and no other."""
+    b = bars.daily_bars(table(spark, d, "ohlc"), "instrument", 3_600)
+    return b.select("instrument", F.col("day").cast("string").alias("day"), "open", "high", "low", "close")
+
+
+@query(
+    _BARS
+    + """, r AS (SELECT *, ln(high / low) AS hl, ln(close / open) AS co, ln(close / first_value(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)) AS ret FROM bars),
+q AS (SELECT *, count(*) OVER w AS n22, avg(hl * hl) OVER w AS p, avg(0.5 * hl * hl - (2 * ln(2) - 1) * co * co) OVER w AS g, count(ret) OVER b AS nb, stddev_samp(ret) OVER b AS sd FROM r
+ WINDOW w AS (PARTITION BY instrument ORDER BY day RANGE BETWEEN 21 PRECEDING AND CURRENT ROW), b AS (PARTITION BY instrument ORDER BY day RANGE BETWEEN 22 PRECEDING AND 1 PRECEDING))
+SELECT instrument, strftime(DATE '1970-01-01' + day, '%Y-%m-%d') AS day, round(ret, 9) AS return_1d, round(CASE WHEN n22 = 22 THEN sqrt(365 * p / (4 * ln(2))) END, 9) AS rv_parkinson_22d,
+ round(CASE WHEN n22 = 22 THEN sqrt(365 * greatest(g, 0)) END, 9) AS rv_garman_klass_22d, CASE WHEN nb = 22 AND ret IS NOT NULL THEN abs(ret) > 3 * sd END AS jump_flag FROM q"""
+)
+def realized_volatility_month(spark: SparkSession, d: str) -> DataFrame:
+    """As realized_volatility with the 22-day horizon and jump window."""
+    r = bars.realized(_bars(spark, d), "instrument")
+    cols = ("return_1d", "rv_parkinson_22d", "rv_garman_klass_22d")
+    return r.select("instrument", F.col("day").cast("string").alias("day"), *[F.round(c, 9).alias(c) for c in cols], "jump_flag")
+
+
 @query("""WITH h AS (SELECT epoch_us(ts) // 3600000000 AS hour, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS n FROM events GROUP BY 1)
 SELECT CAST(hour AS BIGINT) AS hour, open, high, low, close, n, close / lag(close) OVER (ORDER BY hour) - 1 AS change FROM h""")
 def hourly_candles(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +157,16 @@ def basis_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.col("snap_date").cast("string").alias("day"), "currency", F.round("futures_basis", 9).alias("futures_basis"), "basis_age_s")
 
 
-def _oi(spark: SparkSession, d: str) -> DataFrame:
+def _chain_interest(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "tardis_sample").filter(F.length(F.trim("symbol")) > 0)
     chain = q.select(F.split_part(clean_name("symbol"), F.lit("-"), F.lit(1)).alias("currency"), clean_name("symbol").alias("instrument"), F.timestamp_micros("timestamp").alias("source_ts"), "open_interest", "quote_id")
     # one row per instrument and instant, so that "latest" is unique
-    one = chain.groupBy("currency", "instrument", "source_ts").agg(F.max_by("open_interest", "quote_id").alias("open_interest"))
-    return market.open_interest(_days(spark, d), one.filter("currency = 'ETH'"), one)
+    return chain.groupBy("currency", "instrument", "source_ts").agg(F.max_by("open_interest", "quote_id").alias("open_interest"))
+
+
+def open_interest_of(spark: SparkSession, d: str, days: DataFrame) -> DataFrame:
+    one = _chain_interest(spark, d)
+    return market.open_interest(days, one.limit(0), one)
 
 
 @query(
@@ -150,7 +176,27 @@ l AS (SELECT d.snap_date, d.currency, q.i, arg_max({'oi': open_interest}, (u, qu
 SELECT strftime(days.snap_date, '%Y-%m-%d') AS day, currency, round(sum(b.oi), 6) AS aggregate_oi FROM days LEFT JOIN l USING (snap_date, currency) GROUP BY ALL"""
 )
 def open_interest(spark: SparkSession, d: str) -> DataFrame:
-    return _oi(spark, d).select(F.col("snap_date").cast("string").alias("day"), "currency", F.round("aggregate_oi", 6).alias("aggregate_oi"))
+    return open_interest_of(spark, d, _days(spark, d)).select(F.col("snap_date").cast("string").alias("day"), "currency", F.round("aggregate_oi", 6).alias("aggregate_oi"))
+
+
+@query(
+    _DAYS
+    + """, f AS (SELECT split_part(instrument, '-', 1) AS currency, instrument AS i, epoch_us(ts) AS u, (epoch_us(ts) // 86400000000) AS day, amount AS oi, ingest_seq FROM trades_futures WHERE amount >= 0),
+a AS (SELECT currency, i, day, arg_max(oi, (u, ingest_seq)) AS oi FROM f WHERE u <= day * 86400000000 + 29100000000 GROUP BY ALL),
+sa AS (SELECT currency, day, sum(oi) AS oi FROM a GROUP BY ALL),
+q AS (SELECT upper(trim(symbol)) AS i, timestamp AS u, open_interest, quote_id FROM tardis_sample),
+l AS (SELECT d.snap_date, d.currency, q.i, arg_max({'oi': open_interest}, (u, quote_id)) AS b FROM days d JOIN q ON split_part(q.i, '-', 1) = d.currency AND u <= snap AND u >= snap - 29100000000 GROUP BY ALL),
+sb AS (SELECT snap_date, currency, sum(b.oi) AS oi FROM l GROUP BY ALL)
+SELECT strftime(days.snap_date, '%Y-%m-%d') AS day, days.currency, round(coalesce(sa.oi, sb.oi), 6) AS aggregate_oi, sa.oi IS NOT NULL AS from_collected
+FROM days LEFT JOIN sa ON sa.currency = days.currency AND sa.day = (snap - 29100000000) // 86400000000 LEFT JOIN sb ON sb.currency = days.currency AND sb.snap_date = days.snap_date"""
+)
+def open_interest_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """A second source, here sizes of futures by instrument, beats the chain on the days it has; the chain fills the others."""
+    f = table(spark, d, "trades_futures").filter("amount >= 0")
+    f = f.groupBy(F.split_part("instrument", F.lit("-"), F.lit(1)).alias("currency"), "instrument", F.col("ts").alias("source_ts")).agg(F.max_by("amount", "ingest_seq").alias("open_interest"))
+    o = market.open_interest(_days(spark, d), f, _chain_interest(spark, d))
+    first = market.open_interest(_days(spark, d), f, f.limit(0)).select("snap_date", "currency", F.col("aggregate_oi").isNotNull().alias("from_collected"))
+    return o.join(first, ["snap_date", "currency"]).select(F.col("snap_date").cast("string").alias("day"), "currency", F.round("aggregate_oi", 6).alias("aggregate_oi"), "from_collected")
 
 
 # ---- curation ----
@@ -182,9 +228,7 @@ def parity_forwards(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("snap_date").cast("string").alias("day"), "currency", F.unix_millis("expiry").alias("expiry_ms"), F.round("parity_forward", 6).alias("parity_forward"), "n_pairs")
 
 
-@query(
-    _OBS
-    + """, cells AS (SELECT day, currency, expiry, snap, median(tau) AS tau, median(index_price) AS idx FROM obs GROUP BY ALL),
+_FORWARDS = """, cells AS (SELECT day, currency, expiry, snap, median(tau) AS tau, median(index_price) AS idx FROM obs GROUP BY ALL),
 fu AS (SELECT split_part(instrument, '-', 1) AS currency, epoch_us(strptime(split_part(instrument, '-', 2), '%d%b%y')) + 28800000000 AS e, epoch_us(ts) AS u, price, ingest_seq FROM trades_futures WHERE instrument NOT LIKE '%PERPETUAL' AND price > 0),
 a AS (SELECT cells.day, cells.currency, cells.expiry, arg_max(fu.price, (fu.u, fu.ingest_seq)) AS fut FROM cells JOIN fu ON fu.currency = cells.currency AND fu.e = epoch_us(cells.expiry) AND fu.u <= cells.snap GROUP BY ALL),
 r AS (SELECT split_part(instrument, '-', 1) AS currency, epoch_us(ts) AS u, interest_1h AS i1, interest_8h AS i8, ingest_seq FROM funding),
@@ -193,12 +237,32 @@ SELECT strftime(DATE '1970-01-01' + cells.day, '%Y-%m-%d') AS day, currency, epo
  round(CASE WHEN n_pairs >= 1 AND f > 0 THEN f WHEN fut IS NOT NULL THEN fut ELSE idx * exp(coalesce(x.i8 * 1095, x.i1 * 8760, 0) * tau) END, 6) AS forward,
  CASE WHEN n_pairs >= 1 AND f > 0 THEN 'pcp' WHEN fut IS NOT NULL THEN 'future' ELSE 'index_carry' END AS fwd_method, CAST(CASE WHEN n_pairs >= 1 AND f > 0 THEN n_pairs ELSE 0 END AS BIGINT) AS n_pairs
 FROM cells LEFT JOIN pcp USING (day, currency, expiry) LEFT JOIN a USING (day, currency, expiry) LEFT JOIN b USING (day, currency)"""
-)
+
+
+@query(_OBS + _FORWARDS)
 def tiered_forwards(spark: SparkSession, d: str) -> DataFrame:
     f = options.forwards(_observations(spark, d), table(spark, d, "trades_futures"), table(spark, d, "funding"))
     return f.select(F.col("snap_date").cast("string").alias("day"), "currency", F.unix_millis("expiry").alias("expiry_ms"), F.round("forward", 6).alias("forward"), "fwd_method", "n_pairs")
 
 
+#: Trades of one contract are minutes apart here: with this gap parity has rows at every size of the tables.
+WIDE_GAP_S = 7_200.0
+_WIDE = _OBS.replace("<= 60000000 ", "<= 7200000000 ")
+
+
+@query(_WIDE + "SELECT strftime(DATE '1970-01-01' + day, '%Y-%m-%d') AS day, currency, epoch_ms(expiry) AS expiry_ms, round(f, 6) AS parity_forward, n_pairs FROM pcp")
+def parity_forwards_wide(spark: SparkSession, d: str) -> DataFrame:
+    p = options.parity_pairs(_observations(spark, d), ["snap_date", "currency", "expiry"], WIDE_GAP_S)
+    return p.select(F.col("snap_date").cast("string").alias("day"), "currency", F.unix_millis("expiry").alias("expiry_ms"), F.round("parity_forward", 6).alias("parity_forward"), "n_pairs")
+
+
+@query(_WIDE + _FORWARDS)
+def tiered_forwards_wide(spark: SparkSession, d: str) -> DataFrame:
+    """As tiered_forwards, with all three tiers taken."""
+    f = options.forwards(_observations(spark, d), table(spark, d, "trades_futures"), table(spark, d, "funding"), gap_s=WIDE_GAP_S)
+    return f.select(F.col("snap_date").cast("string").alias("day"), "currency", F.unix_millis("expiry").alias("expiry_ms"), F.round("forward", 6).alias("forward"), "fwd_method", "n_pairs")
+
+
 def curated(spark: SparkSession, d: str) -> DataFrame:
     """All observations with forward, volatility and flags; the kept ones are those not rejected."""
     obs = _observations(spark, d)
@@ -413,6 +477,14 @@ def vector_moments(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("pos").agg(F.round(F.avg("x"), 7).alias("mean"), F.round(F.var_pop("x"), 7).alias("variance"), F.count("x").alias("n"))
 
 
+@query("""SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_pop(embedding[i], embedding[j]), 7) AS covariance
+FROM embeddings, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) WHERE embedding IS NOT NULL GROUP BY i, j""")
+def covariance(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix that components are taken from."""
+    m = pca.moments(table(spark, d, "embeddings"), "embedding")
+    return m.select("i", F.posexplode("covariance").alias("j", "c")).select("i", "j", F.round("c", 7).alias("covariance"))
+
+
 @query()
 def pca_scores(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
