@@ -4,9 +4,11 @@
    hash among those it contains. Equal windows own equal k-mers, so a window
    shared by two records always gives them a common seed. Windows next to each
    other mostly own the same k-mer; a seed with its range of windows is one row.
-2. Join. Per seed, the least and greatest record id (map-side combined) tell
-   whether two records have it; only such seeds go on. Where the whole stretch of
-   a seed's windows stands in another record too, all of it is a match.
+   Texts are read once: the seeds become a table.
+2. Join. Rows of one seed meet in frames of bounded size (see sortedruns). Where
+   the whole stretch of a seed's windows stands in another record too, all of it is
+   a match. Seeds with more than ``HOT`` rows are counted out before and joined by
+   map-side aggregation and broadcasts instead, so none is gathered in one place.
 3. Where only part of the stretch does, its windows are compared one by one,
    against two examples of each different stretch of that seed.
 4. Chain. Matches of a record with one partner are merged along diagonals into
@@ -15,12 +17,14 @@
    exact spans.
 
 Each match of steps 2 and 3 names one partner, which is all that the union over
-partners needs; no seed, however common, is gathered in one place.
+partners needs. That union takes the anchors of all chains: chaining decides which
+anchors form one passage, not which characters are shared.
 
 Passages name every partner. Copies of a whole text are one class, of which the
 least id is matched; the others have one row with it. A seed's places in the
 representatives are paired in blocks of bounded size, all places with all, merged
-along diagonals into runs of each pair, chained, and extended to exact spans.
+along diagonals into runs of each pair, chained, and extended to exact spans; the
+gaps between the anchors of a chain are aligned in a band as wide as they need.
 
 Defined results: null texts, texts without an id and texts shorter than ``length`` share nothing; a
 record does not share with itself; copies of one text under different ids do
@@ -39,15 +43,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ivlattice.llm.rolling import code_points, prefix, run_pairs as _hits, runs as _runs, sliding_min, window_hash
-from ivlattice.session import durable, shards, spread
+from ivlattice.operators.sortedruns import in_runs
+from ivlattice.session import durable, remove, spread, stored
 
 BLOCK_CHARS = 1 << 20
 #: Low bits that hold a place in a block; texts of up to 4 billion characters.
 PLACE_BITS = np.uint64(32)
 GAP_COST = 0.1
 MOST_IDS = 1_000_000
+#: Rows of one seed (or window) up to which a task may hold them all at once.
+HOT = 50_000
+#: Copies of an example of a hot seed, so that its rows meet it in as many places.
+SALT = 8
 #: Places of one seed that one task pairs with as many others.
 BLOCK_PLACES = 1024
+#: Rows with pieces of text on either side that Python takes at once.
+MOST_FLANKS = 20_000
 #: Pieces of text that are sent on together.
 MOST_PIECES = 4096
 
@@ -146,36 +157,115 @@ def _partner(lo: str, hi: str):
     return F.when(F.col(f"{lo}.d") != F.col("doc_id"), F.col(lo)).otherwise(F.col(hi))
 
 
-def matches(docs: DataFrame, length: int, k: int) -> DataFrame:
+MATCH, ASKS, SHOWN = "match", "asks", "shown"
+_FOUND = "what string, doc_id long, seed long, a int, b int, partner long, partner_start int"
+
+
+def _seed_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All rows of whole seeds to matches of whole stretches, stretches that ask, and examples to compare them with."""
+    seed, stretch, doc, a, b = (pdf[c].to_numpy() for c in ("seed", "stretch", "doc_id", "a", "b"))
+    order = np.lexsort((a, doc, stretch, seed))
+    seed, stretch, doc, a, b = seed[order], stretch[order], doc[order], a[order], b[order]
+    new_seed = np.r_[True, seed[1:] != seed[:-1]]
+    first = np.flatnonzero(new_seed | np.r_[True, stretch[1:] != stretch[:-1]])
+    last = np.r_[first[1:], len(seed)] - 1
+    kind = np.repeat(np.arange(len(first)), last - first + 1)
+    twice = doc[first] != doc[last]
+    # by seed: whether two records have it, and whether some of several stretches stands in one record only
+    at = np.flatnonzero(new_seed)
+    common = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+    kinds_at = np.searchsorted(first, at)
+    several = np.diff(np.r_[kinds_at, len(first)]) > 1
+    is_open = np.repeat(common & several & ~np.minimum.reduceat(twice, kinds_at), np.diff(np.r_[kinds_at, len(first)]))
+    full = np.flatnonzero(twice[kind])
+    other = np.where(doc[full] != doc[first][kind[full]], first[kind[full]], last[kind[full]])
+    asks = np.flatnonzero((is_open & ~twice)[kind])
+    shown = np.unique(np.concatenate([first[is_open & twice], last[is_open & twice]]))
+    rows = np.concatenate([full, asks, shown])
+    what = np.repeat([MATCH, ASKS, SHOWN], [len(full), len(asks), len(shown)])
+    none = np.zeros(len(asks) + len(shown), np.int64)
+    return pd.DataFrame(
+        {"what": what, "doc_id": doc[rows], "seed": seed[rows], "a": a[rows], "b": b[rows], "partner": np.r_[doc[other], none], "partner_start": np.r_[a[other], none].astype(np.int32)}
+    )
+
+
+def _hot_rows(found: DataFrame) -> DataFrame:
+    """As ``_seed_frame`` for the rows of seeds that stand nearly everywhere: nothing gathers a seed.
+
+    Examples are found with map-side combination. They go back to the rows of their
+    stretch by a join in which each of them is copied to SALT places.
+    """
+    where = F.struct(F.col("doc_id").alias("d"), F.col("a").alias("a"), F.col("b").alias("b"))
+    kinds = durable(found.groupBy("seed", "stretch").agg(F.min(where).alias("lo"), F.max(where).alias("hi")))
+    twice = F.col("lo.d") != F.col("hi.d")
+    by_seed = kinds.groupBy("seed").agg(F.min("lo.d").alias("d0"), F.max("hi.d").alias("d1"), F.count(F.lit(1)).alias("n"), F.bool_or(~twice).alias("some"))
+    # one row per hot seed, of which there are at most one for HOT rows of the table
+    opened = by_seed.select("seed", (F.col("d0") != F.col("d1")).alias("common"), ((F.col("n") > 1) & F.col("some")).alias("open"))
+    salted = kinds.join(F.broadcast(opened), "seed").filter("common").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["seed", "stretch", "salt"])
+    p, none = _partner("lo", "hi"), F.lit(0).cast("long")
+    full = rows.filter(twice).select(F.lit(MATCH).alias("what"), "doc_id", "seed", "a", "b", p["d"].alias("partner"), p["a"].alias("partner_start"))
+    asks = rows.filter(~twice & F.col("open")).select(F.lit(ASKS).alias("what"), "doc_id", "seed", "a", "b", none.alias("partner"), none.cast("int").alias("partner_start"))
+    shown = kinds.filter(twice).join(F.broadcast(opened.filter("common and open")), "seed").select("seed", F.explode(F.array("lo", "hi")).alias("x")).distinct()
+    shown = shown.select(F.lit(SHOWN).alias("what"), F.col("x.d").alias("doc_id"), "seed", F.col("x.a").alias("a"), F.col("x.b").alias("b"), none.alias("partner"), none.cast("int").alias("partner_start"))
+    return full.unionByName(asks).unionByName(shown)
+
+
+def _hot_keys(df: DataFrame, keys: list[str], hot: int) -> DataFrame | None:
+    """Keys with more than ``hot`` rows, None if there are none; at most one for ``hot`` rows of the table, so they may be broadcast."""
+    many = durable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*keys))
+    return None if many.isEmpty() else many
+
+
+def matches(docs: DataFrame, length: int, k: int, hot: int = HOT) -> DataFrame:
     """Exact matches: doc_id, start, end, partner, partner_start.
 
     Together they cover exactly the characters that lie in a shared window.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    all_seeds = seeds(docs, length, k)
-    common = all_seeds.groupBy("seed").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").select("seed")
-    found = durable(all_seeds.join(common, "seed"))
-    where = F.struct(F.col("doc_id").alias("d"), F.col("a").alias("a"), F.col("b").alias("b"))
-    kinds = found.groupBy("seed", "stretch").agg(F.min(where).alias("lo"), F.max(where).alias("hi"))
-    twice = F.col("lo.d") != F.col("hi.d")
-    # whole stretches that stand in another record
-    full = found.join(kinds.filter(twice), ["seed", "stretch"])
-    p = _partner("lo", "hi")
-    full = full.select("doc_id", F.col("a").alias("start"), (F.col("b") + length).alias("end"), p["d"].alias("partner"), p["a"].alias("partner_start"))
-    # stretches of one record only: compare their windows with an example of each other stretch
-    asking = found.join(kinds.filter(~twice).select("seed", "stretch"), ["seed", "stretch"]).select("doc_id", "seed", "a", "b", F.lit(True).alias("asks"))
-    open_seeds = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~twice).alias("open")).filter("n > 1 and open").select("seed")
-    asking = asking.join(open_seeds, "seed", "left_semi")
-    # two examples from different records, as the asking record may be one of them
-    shown = kinds.filter(twice).join(open_seeds, "seed", "left_semi").select("seed", F.explode(F.array("lo", "hi")).alias("x"))
-    shown = shown.select(F.col("x.d").alias("doc_id"), "seed", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.lit(False).alias("asks"))
-    wanted = asking.unionByName(shown).groupBy("doc_id").agg(F.collect_list(F.struct("seed", "a", "b", "asks")).alias("want"))
+    every, path = stored(seeds(docs, length, k))
+    many = _hot_keys(every, ["seed"], hot)
+    if many is None:
+        found = in_runs(every, ["seed"], _seed_frame, _FOUND)
+    else:
+        found = in_runs(every.join(F.broadcast(many), "seed", "left_anti"), ["seed"], _seed_frame, _FOUND)
+        found = found.unionByName(_hot_rows(every.join(F.broadcast(many), "seed")))
+    found = durable(found)
+    remove(docs.sparkSession, path)
+    full = found.filter(F.col("what") == MATCH).select("doc_id", F.col("a").alias("start"), (F.col("b") + length).alias("end"), "partner", "partner_start")
+    wanted = found.filter(F.col("what") != MATCH).groupBy("doc_id").agg(F.collect_list(F.struct("seed", "a", "b", (F.col("what") == ASKS).alias("asks"))).alias("want"))
     windows = durable(_windows(docs, wanted, length))
+    many = _hot_keys(windows, ["seed", "window"], hot)
+    if many is None:
+        part = in_runs(windows, ["seed", "window"], _window_frame, _MATCHES)
+    else:
+        part = in_runs(windows.join(F.broadcast(many), ["seed", "window"], "left_anti"), ["seed", "window"], _window_frame, _MATCHES)
+        part = part.unionByName(_hot_windows(windows.join(F.broadcast(many), ["seed", "window"])))
+    return full.unionByName(part.withColumn("end", F.col("start") + length))
+
+
+_MATCHES = "doc_id long, start int, partner long, partner_start int"
+
+
+def _window_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All rows of whole windows: those that ask, with an example in another record."""
+    seed, window, doc, start, asks = (pdf[c].to_numpy() for c in ("seed", "window", "doc_id", "start", "asks"))
+    order = np.lexsort((start, doc, window, seed))
+    seed, window, doc, start, asks = seed[order], window[order], doc[order], start[order], asks[order].astype(bool)
+    first = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (window[1:] != window[:-1])])
+    last = np.r_[first[1:], len(seed)] - 1
+    kind = np.repeat(np.arange(len(first)), last - first + 1)
+    rows = np.flatnonzero(asks & (doc[first] != doc[last])[kind])
+    other = np.where(doc[rows] != doc[first][kind[rows]], first[kind[rows]], last[kind[rows]])
+    return pd.DataFrame({"doc_id": doc[rows], "start": start[rows], "partner": doc[other], "partner_start": start[other]})
+
+
+def _hot_windows(windows: DataFrame) -> DataFrame:
+    """As ``_window_frame`` for windows with very many rows; one row of examples each, which may be broadcast."""
     spot = F.struct(F.col("doc_id").alias("d"), F.col("start").alias("a"))
     known = windows.groupBy("seed", "window").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(F.col("lo.d") != F.col("hi.d"))
-    part = windows.filter("asks").join(known, ["seed", "window"])
-    part = part.select("doc_id", "start", (F.col("start") + length).alias("end"), p["d"].alias("partner"), p["a"].alias("partner_start"))
-    return full.unionByName(part)
+    p = _partner("lo", "hi")
+    return windows.filter("asks").join(F.broadcast(known), ["seed", "window"]).select("doc_id", "start", p["d"].alias("partner"), p["a"].alias("partner_start"))
 
 
 def merge_diagonals(start: np.ndarray, end: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,47 +342,78 @@ def chain(start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
 ANCHORS = "doc_id long, partner long, chain int, span_start long, span_end long, partner_start long"
 
 
-def anchors(found: DataFrame) -> DataFrame:
-    """Anchors of all chains, from ``matches``; records of one shard are handled together."""
-    n = shards(found.sparkSession)
+def _anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for (doc, partner), g in pdf.groupby(["doc_id", "partner"], sort=False):
+        s, e = g["start"].to_numpy(np.int64), g["end"].to_numpy(np.int64)
+        s, e, shift = merge_diagonals(s, e, g["partner_start"].to_numpy(np.int64) - s)
+        out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "chain": chain(s, e, s + shift), "span_start": s, "span_end": e, "partner_start": s + shift}))
+    return pd.concat(out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (doc, partner), g in pdf.groupby(["doc_id", "partner"], sort=False):
-            s, e = g["start"].to_numpy(np.int64), g["end"].to_numpy(np.int64)
-            s, e, shift = merge_diagonals(s, e, g["partner_start"].to_numpy(np.int64) - s)
-            out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "chain": chain(s, e, s + shift), "span_start": s, "span_end": e, "partner_start": s + shift}))
-        return pd.concat(out)
 
-    return found.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).alias("shard")).applyInPandas(run, ANCHORS)
+def anchors(found: DataFrame) -> DataFrame:
+    """Anchors of all chains, from ``matches``."""
+    return in_runs(found, ["doc_id", "partner"], _anchors, ANCHORS)
+
 
+def shared_spans(docs: DataFrame, length: int = 300, k: int = 176, hot: int = HOT) -> DataFrame:
+    """doc_id, span_start, span_end: the union of a record's anchors over all its chains.
 
-def shared_spans(docs: DataFrame, length: int = 300, k: int = 176) -> DataFrame:
-    """doc_id, span_start, span_end: the union of a record's anchors over all its chains."""
-    a = anchors(matches(docs, length, k))
-    n = shards(docs.sparkSession)
+    A record's matches are chained and united where they meet, in one shuffle; their
+    number is bounded by its length.
+    """
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, e, doc = merge_diagonals(pdf["span_start"].to_numpy(), pdf["span_end"].to_numpy(), pdf["doc_id"].to_numpy())
+        a = _anchors(pdf)
+        s, e, doc = merge_diagonals(a["span_start"].to_numpy(), a["span_end"].to_numpy(), a["doc_id"].to_numpy())
         return pd.DataFrame({"doc_id": doc, "span_start": s, "span_end": e})
 
-    one = a.select("doc_id", "span_start", "span_end")
-    return one.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).alias("shard")).applyInPandas(union, "doc_id long, span_start long, span_end long")
+    return in_runs(matches(docs, length, k, hot), ["doc_id"], union, "doc_id long, span_start long, span_end long")
+
+
+#: Half the width of the first band that an alignment tries.
+FIRST_BAND = 32
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Edit distance of a to b, if it is ``band`` at most (else something larger), one array operation per row."""
+    far = len(a) + len(b) + 1
+    t = np.arange(2 * band + 1)
+    padded = np.full(len(a) + len(b) + 4 * band + 2, -1, np.int64)
+    padded[band : band + len(b)] = b
+    # row i holds columns i - band to i + band of the table
+    j = t - band
+    row = np.where((j >= 0) & (j <= len(b)), j, far)
+    for i in range(1, len(a) + 1):
+        j = i + t - band
+        change = row + (padded[i - 1 : i + 2 * band] != a[i - 1])
+        best = np.minimum(change, np.append(row[1:] + 1, far))
+        best[(j < 0) | (j > len(b))] = far
+        best[j == 0] = i
+        row = np.minimum.accumulate(best - t) + t
+        row[(j < 0) | (j > len(b))] = far
+    at = len(b) - len(a) + band
+    return int(row[at]) if 0 <= at <= 2 * band else far
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Fewest insertions, deletions and substitutions, one array operation per row."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    other = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    step = np.arange(len(b) + 1)
-    row = step.copy()
-    for i, c in enumerate(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), 1):
-        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (other != c))])
-        row = np.minimum.accumulate(best - step) + step
-    return int(row[-1])
+    """Fewest insertions, deletions and substitutions, in a band that is doubled until they fit.
+
+    The cost is the length times the number of edits, not the product of the lengths.
+    """
+    head = len(commonprefix([a, b]))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (a, b))
+    band, most = max(FIRST_BAND, abs(len(x) - len(y))), max(len(x), len(y))
+    while True:
+        d = _banded(x, y, min(band, most))
+        if d <= band or band >= most:
+            return d
+        band *= 2
 
 
 def places(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -330,9 +451,11 @@ RUNS = "doc_id long, partner long, s long, e long, ps long, pe long"
 
 def pair_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Runs of shared seeds on one diagonal, of every two records: ``RUNS``, doc_id < partner."""
-    every = places(docs, length, k)
+    every, path = stored(places(docs, length, k))
     common = every.groupBy("seed", "again").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count(F.lit(1)).alias("size")).filter("d0 <> d1").select("seed", "again", "size")
-    hits = _paired(durable(every.join(common, ["seed", "again"])))
+    shared = durable(every.join(common, ["seed", "again"]))
+    remove(docs.sparkSession, path)
+    hits = _paired(shared)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -343,11 +466,7 @@ def pair_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "s": s, "e": e, "ps": s + shift, "pe": e + shift}))
         return pd.concat(out)
 
-    return hits.groupBy(_pair_shard(docs)).applyInPandas(run, RUNS)
-
-
-def _pair_shard(df: DataFrame):
-    return F.pmod(F.xxhash64("doc_id", "partner"), F.lit(2 * shards(df.sparkSession))).alias("shard")
+    return in_runs(hits, ["doc_id", "partner"], run, RUNS)
 
 
 def _flanks(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
@@ -421,7 +540,7 @@ def pair_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": doc, "partner": partner, "chain": rows[:, 0], "span_start": rows[:, 1], "span_end": rows[:, 2], "partner_start": rows[:, 3]}))
         return pd.concat(out)
 
-    return both.groupBy(_pair_shard(docs)).applyInPandas(run, ANCHORS)
+    return in_runs(both, ["doc_id", "partner"], run, ANCHORS, most=MOST_FLANKS)
 
 
 def copies(docs: DataFrame) -> DataFrame:

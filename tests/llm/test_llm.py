@@ -122,6 +122,18 @@ def test_shared_spans(spark, seed):
     assert got == spans_brute(docs, 30)
 
 
+def test_shared_spans_of_hot_seeds(spark):
+    """Seeds and windows with more rows than a task may hold take the joins, with the same result."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    common = [word(70), "xy" * 50, word(40)]
+    docs = [(d, word(rng.randint(0, 40)) + rng.choice(common)[rng.randint(0, 9) :] + word(rng.randint(0, 40)) + rng.choice(common)) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = spans_brute(docs, 30)
+    for hot in (0, 3, 20):
+        assert sorted((r.doc_id, r.span_start, r.span_end) for r in sharedspans.shared_spans(df, length=30, k=18, hot=hot).collect()) == want
+
+
 def test_spans_of_nothing(spark):
     assert sharedspans.shared_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -238,6 +250,24 @@ def test_edit_distance():
     assert [sharedspans.edit_distance(a, b) for a, b in (("", ""), ("abc", ""), ("kitten", "sitting"), ("日本", "日x本"))] == [0, 3, 3, 1]
 
 
+def edit_brute(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_against_brute_force():
+    rng = random.Random(22)
+    for n in (0, 1, 3, 20, 90, 200):
+        for abc in ("ab", "abcdefghij日"):
+            a = "".join(rng.choice(abc) for _ in range(n))
+            for b in ("".join(rng.choice(abc) for _ in range(rng.randint(0, 150))), a[: n // 3] + "zz" + a[n // 2 :], a[::-1], "z" + a + "zzz"):
+                assert sharedspans.edit_distance(a, b) == sharedspans.edit_distance(b, a) == edit_brute(a, b)
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
