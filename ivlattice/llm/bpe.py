@@ -113,6 +113,23 @@ def decode(ids: list[int], content: bytes) -> str:
     return b"".join(strings[i] for i in ids).decode("utf-8", "replace")
 
 
+def decode_ids(rows: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """doc_id, text: the vocabulary's strings of the ids, one after the other.
+
+    Null and empty lists give an empty text; bytes that are no UTF-8 are replaced; an
+    id that the vocabulary lacks fails the query.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = {i: b for b, i in parse_ranks(shared.value).items()}
+        for batch in batches:
+            texts = [b"".join(map(strings.__getitem__, one or ())).decode("utf-8", "replace") for one in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """doc_id, ids array<int>; null and empty texts give an empty list.
 

@@ -20,6 +20,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return bpe.decode_ids(p8_ids(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -41,7 +46,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p9_found, p9_overlaps, p9_exact_words, p10_found, p10_passages)}
+QUERIES = {f.__name__: f for f in (p6_found, p8_ids, p8_decoded, p9_found, p9_overlaps, p9_exact_words, p10_found, p10_passages)}
 
 _GRAMS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -51,6 +56,7 @@ eg AS (SELECT item_id, i AS j, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT
 """
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_exact_words": _GRAMS
     + """, h AS (SELECT doc_id, item_id, i - j AS diagonal, i FROM dg JOIN eg USING (g)),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS k FROM h),

@@ -52,6 +52,17 @@ def test_null_and_empty_texts(spark):
     assert bpe.encode_texts(df.limit(0)).count() == 0
 
 
+@needs_vocabulary
+def test_decoding_a_table(spark, content):
+    texts = [*ODD_TEXTS, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = bpe.encode_texts(df)
+    assert {r.doc_id: r.text for r in bpe.decode_ids(ids).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.decode(bpe.Encoder(content).encode("naïve café"), content) == "naïve café"
+    null = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r.text for r in bpe.decode_ids(null).collect()} == {""}
+
+
 def nearest_brute(left, right, tol):
     out = {}
     for i, e, t in left:
