@@ -28,6 +28,28 @@ def earliest_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> Da
     return df.groupBy(*keys).agg(packed).select(*keys, "__row.*").select(*df.columns)
 
 
+#: Places that the rows of one key are dealt to when they meet a table with one row per key.
+WAYS = 8
+
+
+def beside(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``per_key``, which has one row per key.
+
+    Nulls in keys are equal. One key may hold a third of ``df``: its rows are dealt to
+    WAYS places, and the few rows of ``per_key`` copied to each; a ``per_key`` that
+    turns out small is broadcast by the planner all the same. Without keys it is one row.
+    """
+    if not keys:
+        return df.crossJoin(per_key)
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    few = per_key.withColumnsRenamed(names).withColumn("__way2", F.explode(F.array(*[F.lit(i) for i in range(WAYS)])))
+    many = df.withColumn("__way", F.pmod(F.xxhash64(*df.columns), F.lit(WAYS)).cast("int"))
+    same = F.col("__way") == F.col("__way2")
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return many.join(few, same, how).drop("__way", "__way2", *names.values())
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Global top k; each task keeps k rows before the last merge."""
     return df.orderBy(*order).limit(k)

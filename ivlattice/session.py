@@ -32,7 +32,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session, set in the context.
 
