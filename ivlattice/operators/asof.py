@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ivlattice.functions.calendar import feature_day, snap_ts
 from ivlattice.session import floor_div, micros
 
 DAY_US = 86_400_000_000
@@ -56,3 +57,24 @@ def asof_backward(
     if max_age_us is not None:
         out = out.withColumn("__m", F.when(F.col("__t") - F.col("__m.t") <= max_age_us, F.col("__m")))
     return out.select("__l.*", *[F.col("__m.v")[f"v{i}"].alias(v) for i, v in enumerate(values)])
+
+
+def at_snapshots(cells: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], tie: list[str], day: str = "snap_date", max_age_us: int | None = None) -> DataFrame:
+    """``cells`` with the ``values`` of the latest right row at or before their day's snapshot.
+
+    As ``asof_backward`` where all left times are daily snapshots: right rows are first
+    reduced to one per key and day, combined map-side, and the window runs over those
+    days alone. Ages and ties as there; cells are all kept, right rows with null times
+    never match.
+    """
+    payload = F.struct(micros(ts).alias("t"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    daily = right.filter(F.col(ts).isNotNull()).groupBy(*keys, feature_day(ts).alias(day)).agg(F.max_by(payload, F.struct(ts, *tie)).alias("__p"))
+    row = F.struct(*[cells[f"`{c}`"] for c in cells.columns])
+    left = cells.select(*keys, day, row.alias("__l"), F.lit(None).cast(daily.schema["__p"].dataType).alias("__p"))
+    both = left.unionByName(daily.withColumn("__l", F.lit(None).cast(left.schema["__l"].dataType)))
+    # a day's right rows stand before its cells
+    order = Window.partitionBy(*keys).orderBy(day, F.col("__l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__m", F.last("__p", ignorenulls=True).over(order)).filter(F.col("__l").isNotNull())
+    if max_age_us is not None:
+        out = out.withColumn("__m", F.when(micros(snap_ts(day)) - F.col("__m.t") <= max_age_us, F.col("__m")))
+    return out.select("__l.*", *[F.col("__m")[f"v{i}"].alias(v) for i, v in enumerate(values)])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ivlattice.functions.calendar import feature_day, snap_ts
 from ivlattice.functions.instrument import parse
 from ivlattice.functions.numeric import finite
-from ivlattice.operators.asof import asof_backward
+from ivlattice.operators.asof import at_snapshots
 from ivlattice.session import clean_name
 
 SECOND_US = 1_000_000
@@ -36,11 +36,14 @@ def dvol_level(days: DataFrame, dvol: DataFrame, resolution_s: int = 3_600, max_
     """
     good = dvol.filter(finite("close")).withColumn("usable", F.col("ts") + F.expr(f"interval {resolution_s} seconds"))
     good = good.select("currency", "usable", (F.col("close") / 100).alias("level"), F.col("usable").alias("dvol_ts"), "ingest_seq")
-    d = days.withColumns({"__now": snap_ts("snap_date"), "__then": snap_ts("snap_date") - F.expr(f"interval {back_days} days")})
-    d = asof_backward(d, good, ["currency"], "__now", "usable", ["level", "dvol_ts"], ["ingest_seq"], max_age_s * SECOND_US)
-    d = d.withColumnRenamed("level", "dvol")
-    d = asof_backward(d, good, ["currency"], "__then", "usable", ["level"], ["ingest_seq"], max_age_s * SECOND_US)
-    d = d.withColumn(f"dvol_change_{back_days}d", F.col("dvol") - F.col("level")).drop("level", "__now", "__then")
+    # the days asked for and those they look back to, in one pass
+    then = days.select("currency", F.date_sub("snap_date", back_days).alias("snap_date"), F.lit(False).alias("__asked"))
+    spine = days.select("currency", "snap_date", F.lit(True).alias("__asked")).unionByName(then).groupBy("currency", "snap_date").agg(F.bool_or("__asked").alias("__asked"))
+    d = at_snapshots(spine, good, ["currency"], "usable", ["level", "dvol_ts"], ["ingest_seq"], max_age_us=max_age_s * SECOND_US)
+    earlier = F.first("level").over(Window.partitionBy("currency").orderBy(F.unix_date("snap_date")).rangeBetween(-back_days, -back_days))
+    d = d.withColumn(f"dvol_change_{back_days}d", F.col("level") - earlier).filter("__asked").drop("__asked").withColumnRenamed("level", "dvol")
+    if set(days.columns) != {"currency", "snap_date"}:
+        d = days.join(d, ["snap_date", "currency"], "left")
     return with_lineage(d, "dvol", "dvol_ts")
 
 
@@ -49,9 +52,8 @@ def funding_level(days: DataFrame, funding: DataFrame, max_age_s: int = 43_200)
     good = funding.filter(finite("interest_8h")).select(
         F.split_part("instrument", F.lit("-"), F.lit(1)).alias("currency"), F.col("ts").alias("__ts"), F.col("interest_8h").alias("funding_8h"), F.col("ts").alias("funding_ts"), "ingest_seq"
     )
-    d = days.withColumn("__now", snap_ts("snap_date"))
-    d = asof_backward(d, good, ["currency"], "__now", "__ts", ["funding_8h", "funding_ts"], ["ingest_seq"], max_age_s * SECOND_US)
-    return with_lineage(d.drop("__now"), "funding", "funding_ts")
+    d = at_snapshots(days, good, ["currency"], "__ts", ["funding_8h", "funding_ts"], ["ingest_seq"], max_age_us=max_age_s * SECOND_US)
+    return with_lineage(d, "funding", "funding_ts")
 
 
 def option_volumes(trades: DataFrame) -> DataFrame:

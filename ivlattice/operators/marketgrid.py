@@ -15,6 +15,8 @@ from ivlattice.operators import arbitrage
 
 NOISE = arbitrage.NOISE
 LEAST_POINTS = 3
+#: Places on an axis closer than this are one.
+SAME = 1e-9
 
 
 def slices(obs: DataFrame, snap: list[str], least: int = LEAST_POINTS) -> DataFrame:
@@ -87,8 +89,8 @@ def quality_channels(grid: DataFrame, width: float = 0.05) -> DataFrame:
     inside = F.filter("points", lambda p: F.abs(p["k"] - F.col("k")) <= width)
     n = F.aggregate(inside, F.lit(0).cast("long"), lambda s, p: s + p["n"])
     first, last = F.element_at("points", 1)["k"], F.element_at("points", -1)["k"]
-    beyond = (F.col("k") < first) | (F.col("k") > last)
-    on_strike = F.exists("points", lambda p: F.abs(p["k"] - F.col("k")) < 1e-9)
+    beyond = (F.col("k") < first - SAME) | (F.col("k") > last + SAME)
+    on_strike = F.exists("points", lambda p: F.abs(p["k"] - F.col("k")) < SAME)
     scatter = F.aggregate("points", F.lit(0.0), lambda s, p: s + p["scatter"]) / F.size("points")
     g = grid.withColumns({"cell_n_obs": n, "extrap": beyond, "interp": ~beyond & ~on_strike, "rmse": F.sqrt(F.greatest(scatter, F.lit(0.0)))})
     return g.withColumns({"log_n_obs": F.log1p("cell_n_obs"), "weight": arbitrage.reliability(F.col("cell_n_obs"), F.col("interp"), F.col("extrap"), F.col("rmse"))})
@@ -98,7 +100,7 @@ def nearest_slices(s: DataFrame, snap: list[str], tenor_days: tuple[int, ...]) -
     """Per snapshot and tenor the slice nearest in maturity, the shorter one on ties, with its variance at the money."""
     t = s.withColumn("tenor", F.explode(F.array(*[F.lit(x) for x in tenor_days])))
     gap = F.abs(F.col("tau") - F.col("tenor") / F.lit(365.0))
-    row = F.struct("tau", interpolate_clamped(F.lit(0.0), ks(), ws()).alias("atm_w"), (gap >= 1e-9).alias("interp"))
+    row = F.struct("tau", interpolate_clamped(F.lit(0.0), ks(), ws()).alias("atm_w"), (gap >= SAME).alias("interp"))
     return t.groupBy(*snap, "tenor").agg(F.min_by(row, F.struct(gap, "tau")).alias("r")).select(*snap, "tenor", "r.*")
 
 

@@ -9,7 +9,7 @@ from ivlattice.functions import black76, flags
 from ivlattice.functions.calendar import snap_ts
 from ivlattice.functions.instrument import parse, parse_or_raise
 from ivlattice.functions.numeric import bucket_index, finite, if_finite, nan_if_null, years_between
-from ivlattice.operators.asof import asof_backward
+from ivlattice.operators.asof import at_snapshots
 from ivlattice.operators.median import mad_outliers
 from ivlattice.operators.relational import latest_by
 from ivlattice.session import clean_name
@@ -89,9 +89,8 @@ def parity_pairs(obs: DataFrame, cell: list[str], gap_s: float = 60.0) -> DataFr
     ``gap_s``: an older pair closer in time is not looked for. Pairs with a null
     premium count, the median skips them.
     """
-    pick = F.max_by(F.struct("usd_premium", "source_ts"), F.struct("source_ts", "ingest_seq"))
-    sides = obs.groupBy(*cell, "strike", "cp").agg(pick.alias("n"))
-    pairs = sides.groupBy(*cell, "strike").agg(F.max(F.when(F.col("cp") == "C", F.col("n"))).alias("c"), F.max(F.when(F.col("cp") == "P", F.col("n"))).alias("p"))
+    quote = F.struct("source_ts", "ingest_seq", "usd_premium")
+    pairs = obs.groupBy(*cell, "strike").agg(F.max(F.when(F.col("cp") == "C", quote)).alias("c"), F.max(F.when(F.col("cp") == "P", quote)).alias("p"))
     gap = F.abs(F.unix_micros("c.source_ts") - F.unix_micros("p.source_ts"))
     near = pairs.filter(F.col("c").isNotNull() & F.col("p").isNotNull() & (gap <= gap_s * 1e6))
     return near.groupBy(*cell).agg(
@@ -113,12 +112,11 @@ def forwards(obs: DataFrame, futures: DataFrame, funding: DataFrame, min_pairs:
         F.median("tau").alias("tau"),
         F.median(if_finite("index_price")).alias("index"),
     )
-    cells = cells.withColumn("snap", snap_ts("snap_date"))
     f = futures.withColumn("__i", parse("instrument")).filter((F.col("price") > 0) & (F.col("__i.kind") == "future"))
     f = f.select(F.col("__i.currency").alias("currency"), F.col("__i.expiry").alias("expiry"), "ts", F.col("price").alias("future"), "ingest_seq")
     g = funding.select(F.split_part("instrument", F.lit("-"), F.lit(1)).alias("currency"), "ts", "interest_1h", "interest_8h", "ingest_seq")
-    out = asof_backward(cells, f, ["currency", "expiry"], "snap", "ts", ["future"], tie=["ingest_seq"])
-    out = asof_backward(out, g, ["currency"], "snap", "ts", ["interest_1h", "interest_8h"], tie=["ingest_seq"])
+    out = at_snapshots(cells, f, ["currency", "expiry"], "ts", ["future"], ["ingest_seq"])
+    out = at_snapshots(out, g, ["currency"], "ts", ["interest_1h", "interest_8h"], ["ingest_seq"])
     out = out.join(pcp, cell, "left")
     carry = F.coalesce(if_finite("interest_8h") * EIGHT_HOURS_A_YEAR, if_finite("interest_1h") * HOURS_A_YEAR, F.lit(0.0))
     use_pcp = F.coalesce((F.col("n_pairs") >= min_pairs) & finite("parity_forward") & (F.col("parity_forward") > 0), F.lit(False))

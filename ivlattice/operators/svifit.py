@@ -171,7 +171,8 @@ def fit_surface(slices: list[dict], c: Settings) -> list[dict]:
             phi = eta * t**-gamma
             p = np.array([t * (1 - rho * rho) / 2, t * phi / 2, rho, -rho / phi, np.sqrt(1 - rho * rho) / phi])
             ok, attempts, method = bool(durrleman(p, CALENDAR_K).min() >= 0), 0, "ssvi"
-        if before is not None and np.any(before - variance(p, CALENDAR_K) > 1e-10):
+        # a slice of the shared surface that crosses is only marked, not fitted freely
+        if before is not None and method == "svi" and np.any(before - variance(p, CALENDAR_K) > 1e-10):
             p = fit_slice(k, iv, tau, vega, c.butterfly_penalty, floor_w=before, calendar=c.calendar_penalty)
             ok, attempts = bool(durrleman(p, CALENDAR_K).min() >= 0), 1
         w_now = variance(p, CALENDAR_K)

@@ -246,8 +246,8 @@ def domain_quality(spark: SparkSession, d: str) -> DataFrame:
     return q.select(_day(), "currency", "pairs", "insufficient", "calendar", "butterfly", "vertical", "ok", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
-_CHANNELS = _GRID + """, ch AS (SELECT *, CAST(coalesce(list_sum(list_transform(list_filter(list_zip(xs, ns), lambda z: abs(z[1] - k) <= 0.05), lambda z: z[2])), 0) AS BIGINT) AS n_obs, k < xs[1] OR k > xs[-1] AS extrap,
- NOT (k < xs[1] OR k > xs[-1]) AND len(list_filter(xs, lambda v: abs(v - k) < 1e-9)) = 0 AS interp FROM g),
+_CHANNELS = _GRID + """, ch AS (SELECT *, CAST(coalesce(list_sum(list_transform(list_filter(list_zip(xs, ns), lambda z: abs(z[1] - k) <= 0.05), lambda z: z[2])), 0) AS BIGINT) AS n_obs, k < xs[1] - 1e-9 OR k > xs[-1] + 1e-9 AS extrap,
+ NOT (k < xs[1] - 1e-9 OR k > xs[-1] + 1e-9) AND len(list_filter(xs, lambda v: abs(v - k) < 1e-9)) = 0 AS interp FROM g),
 wt AS (SELECT *, greatest(0, least(1, least(n_obs / 5.0, 1) * (CASE WHEN extrap THEN 0 WHEN interp THEN 0.5 ELSE 1 END) * pow(2, -rmse / 0.05))) AS weight FROM ch)
 """
 

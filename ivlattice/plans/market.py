@@ -203,7 +203,8 @@ def open_interest_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    trades = first_deliveries(table(spark, d, "trades_options"), [F.lower(F.trim("trade_id"))], ["ingest_seq"], "ingest_seq")
+    used = ("ingest_seq", "trade_id", "instrument", "expiry", "strike", "cp", "price_btc", "index_price", "iv", "amount", "block_flag", "ts")
+    trades = first_deliveries(table(spark, d, "trades_options").select(*used), [F.lower(F.trim("trade_id"))], ["ingest_seq"], "ingest_seq")
     obs = snapwindow.snap_window(options.canonical_trades(trades), "source_ts", ["currency", "expiry"])
     # read several times from here on, and only the hours before each snapshot of the whole history
     return durable(options.add_tau(obs))
@@ -271,9 +272,13 @@ def curated(spark: SparkSession, d: str) -> DataFrame:
     return options.cascade(durable(options.cross_check(placed)), ["snap_date", "currency", "expiry"])
 
 
+#: Rows that may leave the curation; null sizes or premiums break its contract.
+KEPT = "not rejected and usd_premium is not null and size is not null"
+
+
 @query()
 def curated_quotes(spark: SparkSession, d: str) -> DataFrame:
-    q = curated(spark, d).filter("not rejected and usd_premium is not null and size is not null")
+    q = curated(spark, d).filter(KEPT)
     return q.select(
         F.col("snap_date").cast("string").alias("snap_date"), "currency", "expiry", "tau", "strike", "cp", "forward", "k", "iv_obs", "iv_source", "usd_premium", "size", "staleness_s", "quality_flags", "fwd_method"
     )
@@ -299,7 +304,7 @@ def chain_against_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _surface_input(spark: SparkSession, d: str) -> DataFrame:
-    c = curated(spark, d).filter("not rejected")
+    c = curated(spark, d).filter(KEPT)
     return c.select("snap_date", "currency", "expiry", "tau", "k", F.col("iv_obs").alias("iv"), "vega")
 
 

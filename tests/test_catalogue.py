@@ -9,9 +9,8 @@ from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
+NEED_SURFACES = {"surfaces_daily", "surface_quality", "surface_factors", "surface_coverage", "feature_rows", "supervised_windows", "grid_component_scores", "curated_quotes", "chain_against_trades"}
 LLM = set(entry.llm_queries.QUERIES) if entry.llm_queries else set()
-SLOW = {"curated_quotes", "quality_flag_counts", "chain_against_trades", "surface_quality", "surface_factors", "surface_coverage", "feature_leakage", "grid_component_scores", "supervised_windows"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -24,9 +23,11 @@ def test_query_equals_sql(spark, con, name):
     assert differences(got, con.sql(entry.oracle_sql()[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - LLM - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - LLM))
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+    """Every row is computed; the smallest tables are too thin for surfaces, whose queries may be empty there."""
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert len(got.columns) and (len(got) or name in NEED_SURFACES)
 
 
 def test_every_sql_has_its_query():
