@@ -51,12 +51,21 @@ def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return beside(med, exact_median(dev, keys, "__d", "mad"), keys)
 
 
-def mad_outliers(df: DataFrame, keys: list[str], value: str, multiple: float, name: str = "is_outlier") -> DataFrame:
+def mad_outliers(df: DataFrame, keys: list[str], value: str, multiple: float, name: str = "is_outlier", bounded: bool = False) -> DataFrame:
     """``df`` with ``name``: finite and strictly more than ``multiple`` deviations from the median.
 
     A deviation of zero makes every differing value an outlier; a lone row never is one.
-    Rows whose keys are null are kept with a false flag.
+    Rows whose keys are null are kept with a false flag. With ``bounded`` the caller
+    says that a group fits a task, such as one expiry of one snapshot: both medians are
+    then windows over one shuffle.
     """
+    if bounded:
+        group = Window.partitionBy(*keys)
+        with_median = df.withColumn("__x", if_finite(value).cast("double")).withColumn("__gap", F.abs(F.col("__x") - F.median("__x").over(group)))
+        far = (F.col("__gap") > F.lit(multiple) * F.median("__gap").over(group))
+        for k in keys:
+            far = far & F.col(k).isNotNull()
+        return with_median.withColumn(name, F.coalesce(far, F.lit(False))).drop("__x", "__gap")
     stats = mad(df, keys, value).withColumnsRenamed({"median": "__med", "mad": "__mad"})
     joined = beside(df, stats.dropna(subset=keys) if keys else stats, keys, "left")
     far = F.abs(if_finite(value) - F.col("__med")) > F.lit(multiple) * F.col("__mad")

@@ -159,7 +159,8 @@ def cascade(
     """Adds delta, vega, w, quality_flags and rejected; keeps every row.
 
     A null delta, volatility or size sets no flag, NaN does. The deviation test runs
-    over all finite w of the group, rejected rows included.
+    over all finite w of the group, rejected rows included; a group is what one snapshot
+    has of one expiry, and fits a task.
     """
     o = black76.priced(obs.drop("price", "delta", "gamma", "vega", "theta"), "forward", "strike", "tau", "iv_obs", "cp_sign")
     alive = (F.col("tau") > 0) & (F.col("iv_obs") > 0)
@@ -169,7 +170,7 @@ def cascade(
             "w": F.col("iv_obs") * F.col("iv_obs") * F.col("tau"),
         }
     ).drop("price", "gamma", "theta")
-    o = mad_outliers(o, group, "w", mad_multiple, "__far")
+    o = mad_outliers(o, group, "w", mad_multiple, "__far", bounded=True)
     outside = lambda c, lo, hi: F.isnan(c) | (c < lo) | (c > hi)
     bits = [
         flags.bit(F.col("tau") < tau_min_days / 365.0, flags.TAU_TOO_SHORT),

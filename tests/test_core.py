@@ -37,11 +37,11 @@ def test_interpolation(spark):
 
 
 def test_instruments(spark):
-    names = ["BTC-8APR22-40000-C", "ETH-29FEB24-1750-P", "VLR-2SEP24-7.5-C", "BTC-24JUN22", "BTC-PERPETUAL", "BTC-31JUN22-1-C", "BTC", None, "BTC-8APR22-40000-X"]
+    names = ["BTC-8APR22-40000-C", "ETH-29FEB24-1750-P", "VLR-2SEP24-7.5-C", "BTC-24JUN22", "BTC-PERPETUAL", "BTC-31JUN22-1-C", "BTC", None, "BTC-8APR22-40000-X", "BTC-8ANF22-1-C", "BTC-8XYZ22", "BTC-8APR22-", "BTC-8APR22-1-C-", "-8APR22"]
     got = [r.i for r in spark.createDataFrame([(n,) for n in names], "n string").select(instrument.parse("n").alias("i")).collect()]
     assert got[0].kind == "option" and got[0].strike == 40000 and got[0].expiry.strftime("%Y-%m-%d %H:%M") == "2022-04-08 08:00"
     assert got[2].strike == 7.5 and got[3].kind == "future" and got[3].strike is None and got[4].kind == "perpetual" and got[4].expiry is None
-    assert got[5:] == [None] * 4
+    assert got[5:] == [None] * 9
     with pytest.raises(Exception, match="unknown instrument"):
         spark.createDataFrame([("nonsense",)], "n string").select(instrument.parse_or_raise("n")).collect()
 
@@ -282,3 +282,11 @@ def test_implied_volatility_of_every_contract(spark):
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
     worth = lambda r: max(0.0, r.cp * (r.f - r.k))
     assert all(abs(r.repriced - r.price) < 1e-7 * r.f if r.iv > 0 else r.price - worth(r) < 1e-7 * r.f for r in rows)
+
+
+def test_bounded_outliers_equal_the_general_ones(spark):
+    rng = np.random.default_rng(8)
+    rows = [("ab"[i % 2] if i % 11 else None, float(rng.normal()) * (20 if i % 17 == 0 else 1)) for i in range(200)] + [("c", 5.0), ("d", 1.0), ("d", 1.0), ("d", 2.0), ("e", float("nan")), ("e", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, v double")
+    got = [{r.id: r.is_outlier for r in median.mad_outliers(df, ["k"], "v", 3.0, bounded=b).collect()} for b in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and sum(got[0].values()) > 3
