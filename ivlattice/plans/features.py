@@ -212,6 +212,8 @@ def supervised_windows(spark: SparkSession, d: str) -> DataFrame:
 def grid_component_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of each usable grid on the components fitted to the first two thirds of the days."""
     g = durable(grid_vectors(domain.surfaces(spark, d)).filter("reason is null").select("snap_date", "currency", "grid_w"))
+    if g.isEmpty():
+        return g.select("snap_date", "currency", F.array().cast("array<double>").alias("scores"))
     cut = g.agg(F.percentile_approx(F.unix_date("snap_date"), 2 / 3).alias("cut"))
     c = pca.fit(g.join(cut, F.unix_date("snap_date") <= F.col("cut")), "grid_w", 3)
     return g.select("snap_date", "currency", c.scores("grid_w").alias("scores"))
