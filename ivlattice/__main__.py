@@ -23,10 +23,10 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from ivlattice.operators import folds
-    from ivlattice.plans import features, market, problems, relational
+    from ivlattice.plans import chain, features, market, problems, relational, storage
     from ivlattice.session import durable
 
-    catalogue = {n: q for m in (problems, relational, market, features) for n, q in m.QUERIES.items()}
+    catalogue = {n: q for m in (problems, relational, storage, market, chain, features) for n, q in m.QUERIES.items()}
     if a.command == "list":
         print("\n".join(catalogue))
         return

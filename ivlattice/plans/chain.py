@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ivlattice.functions.calendar import snap_ts
 from ivlattice.functions.flags import HARD_REJECT
-from ivlattice.operators import arbitrage, marketgrid, options
+from ivlattice.operators import arbitrage, marketgrid, options, repair
 from ivlattice.plans.market import sql_cdf
 from ivlattice.plans.registry import Catalogue
 from ivlattice.session import durable, table
@@ -315,6 +315,17 @@ def surface_reasons(spark: SparkSession, d: str) -> DataFrame:
     return marketgrid.reasons(every, s, marketgrid.shared_grid(s), SNAP).select(_day(), "currency", "reason")
 
 
+@query(_ARB + f"SELECT {_DAY_SQL}, currency, n_slices, calendar + butterfly + vertical > 0 AS moved, 0::BIGINT AS calendar_after FROM arb")
+def repaired_market(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's market without arbitrage: what was clean stays, what was not moves, and no maturity falls below the one before."""
+    g = marketgrid.shared_grid(_slices(spark, d)).select(*SNAP, "tau", "i", "k", "w")
+    r = durable(repair.repair_surfaces(g, SNAP, "tau", "i", "k", "w"))
+    before = F.lag("repaired_w").over(Window.partitionBy(*SNAP, "i").orderBy("tau"))
+    r = r.withColumns({"fell": F.col("repaired_w") - before < -1e-7, "differs": F.col("repaired_w") != F.col("w")})
+    out = r.groupBy(*SNAP).agg(F.count_distinct("tau").alias("n_slices"), F.bool_or("differs").alias("moved"), F.count_if("fell").alias("calendar_after"))
+    return out.select(_day(), "currency", "n_slices", "moved", "calendar_after")
+
+
 # ---- the volatility solver on prices whose volatility is known ----
 
 

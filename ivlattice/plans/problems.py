@@ -242,12 +242,12 @@ SQL = {
     + ", ".join(f"{f'f[{i}]' if c in badrows.TEXT else f'TRY_CAST(f[{i}] AS BIGINT)' if c in badrows.WHOLE else f'TRY_CAST(f[{i}] AS DOUBLE)'} AS {c}" for i, c in enumerate(badrows.COLUMNS, 1))
     + " FROM r WHERE reason IS NULL",
     "p1_found": """
-SELECT 'trades_options' AS table_name, ingest_seq FROM trades_options
+SELECT 'trades_options' AS table_name, ingest_seq FROM trades_options WHERE trade_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY lower(trim(trade_id)) ORDER BY ingest_seq) > 1
-UNION ALL SELECT 'funding', ingest_seq FROM funding QUALIFY row_number() OVER (PARTITION BY instrument, ts ORDER BY ingest_seq) > 1""",
+UNION ALL SELECT 'funding', ingest_seq FROM funding WHERE instrument IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument, ts ORDER BY ingest_seq) > 1""",
     "p1_kept_trades": """
 SELECT ingest_seq, trade_id, upper(trim(instrument)) AS instrument, price_btc, iv, amount FROM trades_options
-QUALIFY row_number() OVER (PARTITION BY lower(trim(trade_id)) ORDER BY ingest_seq) = 1""",
+QUALIFY trade_id IS NULL OR row_number() OVER (PARTITION BY lower(trim(trade_id)) ORDER BY ingest_seq) = 1""",
     "p4_found": """
 WITH ev AS (SELECT ingest_seq, ts, upper(trim(instrument)) AS i FROM trades_options WHERE block_flag),
 k AS (SELECT 'dvol' AS table_name, currency AS e, ingest_ts, ts, ingest_seq FROM dvol WHERE close IS NOT NULL
