@@ -180,7 +180,7 @@ def _filter(seeds: DataFrame) -> np.ndarray:
 
     schema = "block long, content binary"
     out = np.zeros((bits // 8 // BLOCK_BYTES, BLOCK_BYTES), np.uint8)
-    for row in in_runs(seeds.mapInPandas(part, schema), ["block"], put_together, schema, most=64).toLocalIterator():
+    for row in in_runs(seeds.mapInPandas(part, schema), ["block"], put_together, schema, most=64).collect():
         out[row["block"]] = np.frombuffer(row["content"], np.uint8)
     return out.ravel()
 
