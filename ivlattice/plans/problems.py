@@ -235,6 +235,16 @@ r AS (SELECT line_id, f, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 24 T
 """
 ).replace("NUMBER", _NUMBER)
 
+_PRICED = """SELECT upper(trim(instrument)) AS instrument, epoch_us(ts) // {step} AS slot, arg_max(price_btc, (epoch_us(ts), ingest_seq)) FILTER (WHERE price_btc IS NOT NULL) AS v, true AS seen
+ FROM trades_options WHERE instrument IS NOT NULL AND ts IS NOT NULL GROUP BY ALL"""
+
+
+def _filled_sql(slots: str, step: int) -> str:
+    return f"""WITH o AS ({slots}), g AS (SELECT instrument, unnest(generate_series(min(slot), max(slot))) AS slot FROM o GROUP BY instrument)
+SELECT instrument, strftime(make_timestamp(slot * {step}), '%Y-%m-%d %H:%M:%S') AS slot_start, last_value(v IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY slot) AS value, seen IS NULL AS missing
+FROM g LEFT JOIN o USING (instrument, slot)"""
+
+
 SQL = {
     "p3_found": _LINES + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p3_loaded": _LINES
@@ -271,4 +281,7 @@ WITH o AS (SELECT instrument, epoch_us(ts) // 3600000000 AS slot, arg_max(close,
 g AS (SELECT instrument, unnest(generate_series(min(slot), max(slot))) AS slot FROM o GROUP BY instrument)
 SELECT instrument, strftime(make_timestamp(slot * 3600000000), '%Y-%m-%d %H:%M:%S') AS slot_start,
   last_value(v IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY slot) AS value, v IS NULL AS missing FROM g LEFT JOIN o USING (instrument, slot)""",
+    "p7_filled_ohlc_daily": _filled_sql("SELECT instrument, epoch_us(ts) // 86400000000 AS slot, arg_max(close, (epoch_us(ts) // 3600000000, ingest_seq)) AS v, true AS seen FROM ohlc WHERE close IS NOT NULL GROUP BY ALL", 86_400_000_000),
+    "p7_filled_trades": _filled_sql(_PRICED.format(step=3_600_000_000), 3_600_000_000),
+    "p7_filled_trades_daily": _filled_sql(_PRICED.format(step=86_400_000_000), 86_400_000_000),
 }
